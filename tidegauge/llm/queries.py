@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, pii, quality
 from .common import table
 
 
@@ -41,6 +41,80 @@ SELECT d.doc_id, d.size, s5.source_size, s5.target,
 FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN e ON d.source IS NOT DISTINCT FROM e.source
 """
 
-QUERIES = {"op10_mix_sources": op10_mix_sources}
 
-ORACLE_SQL = {"op10_mix_sources": OP10_SQL}
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    files = sorted(docs.inputFiles())[:1]
+    sample = quality.measures(spark.read.schema(docs.schema).parquet(*files).sample(0.05, seed=4)) if files else quality.measures(docs)
+    out = quality.cascade(quality.measures(docs).withColumn("base_failed", quality.base_failed()), quality.default_rules(), sample)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP4_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws,
+         list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM t),
+i AS (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 1, 1))) AS i FROM w),
+g AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, ws[i], ws[i + 1], ws[i + 2]) AS c FROM i),
+r AS (SELECT rid, count(DISTINCT i + o) AS n FROM g, (SELECT unnest([0, 1, 2]) AS o) WHERE c >= 2 GROUP BY rid),
+m AS (
+  SELECT doc_id, ws, text, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN r USING (rid)),
+b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+            OR (n_words > 0 AND (word_chars / n_words < 2 OR word_chars / n_words > 14))
+            OR 100 * len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) > 30 * n_words
+            OR regexp_matches(text, '[^\x20\x09-\x0D]{1000}')) AS kept
+FROM b
+"""
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    said = lambda xs: F.array_join(F.transform(xs, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = [k.name for k in pii.BASE_KINDS]
+    of_base = F.filter("spans", lambda s: s["kind"].isin(base))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in base]
+    return out.select("doc_id", *counts, F.sha2(said(of_base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+def _luhn_sql(x: str) -> str:
+    d = f"regexp_replace({x}, '[^0-9]', '', 'g')"
+    v = f"substr({d}, j::INT, 1)::INT"
+    return f"(list_sum(list_transform(range(1, length({d}) + 1), lambda j: CASE WHEN (length({d}) - j) % 2 = 1 THEN CASE WHEN {v} > 4 THEN 2 * {v} - 9 ELSE 2 * {v} END ELSE {v} END)) % 10 = 0)"
+
+
+def _near_sql(words: str) -> str:
+    return f"regexp_matches(lower(substr(text, greatest(s.e - length(s.x) - 39, 1)::INT, length(s.x) + 80)), '{words}')"
+
+
+def _op5_sql() -> str:
+    """For each kind the matches and the pieces between them, then running lengths, then what validates."""
+    runs = r"[0-9]([\x20-]?[0-9])+"
+    size = "length(regexp_replace(s.x, '[^0-9]', '', 'g'))"
+    iban = "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(regexp_replace(s.x, ' ', '', 'g'), 5) || substr(regexp_replace(s.x, ' ', '', 'g'), 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c::BIGINT ELSE 100 + ascii(c) - 55 END)), lambda a, c: CASE WHEN c < 100 THEN (a * 10 + c) % 97 ELSE (a * 100 + c - 100) % 97 END) = 1"
+    kinds = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "true"),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "list_max(list_transform(string_split(s.x, '.'), lambda p: p::HUGEINT)) <= 255"),
+        ("card", runs, f"{size} BETWEEN 16 AND 19 AND {_luhn_sql('s.x')}"),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", f"{size} BETWEEN 8 AND 15"),
+        ("iban", r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b", iban),
+        ("ssn", r"[0-9-]+", "regexp_full_match(s.x, '[0-8][0-9]{2}-[0-9]{2}-[0-9]{4}') AND s.x[1:3] NOT IN ('000', '666') AND s.x[5:6] <> '00' AND s.x[8:] <> '0000' AND " + _near_sql("ssn|social security")),
+        ("shortcard", runs, f"{size} BETWEEN 13 AND 15 AND {_luhn_sql('s.x')} AND {_near_sql('card|visa|amex|credit|karte|carte|tarjeta')}"),
+    ]
+    cols = []
+    for k, p, valid in kinds:
+        at = f"list_transform(regexp_extract_all(text, '{p}'), lambda x, i: {{'x': x, 'e': list_sum(list_transform(regexp_extract_all(text, '{p}')[1:i], lambda y: length(y))) + list_sum(list_transform(string_split_regex(text, '{p}')[1:i], lambda y: length(y)))}})"
+        cols.append(f"list_transform(list_filter({at}, lambda s: {valid}), lambda s: '{k}:' || (s.e - length(s.x))::BIGINT || ':' || s.e::BIGINT) AS {k}")
+    join = lambda ks: "array_to_string(" + " || ".join(k for k, *_ in ks) + ", ',')"
+    return "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), k AS (SELECT doc_id, " + ", ".join(cols) + " FROM t) SELECT doc_id, " + ", ".join(f"len({k})::BIGINT AS n_{k}" for k, *_ in kinds[:4]) + f", sha256({join(kinds[:4])}) AS base_sha256, {join(kinds)} AS spans FROM k"
+
+
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op5_pii": op5_pii, "op10_mix_sources": op10_mix_sources}
+
+ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op5_pii": _op5_sql(), "op10_mix_sources": OP10_SQL}
