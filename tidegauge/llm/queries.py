@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality
+from . import mixing, pii, quality, simhash
 from .common import table
 
 
@@ -42,6 +42,11 @@ FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN e ON d.sourc
 """
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     files = sorted(docs.inputFiles())[:1]
@@ -115,6 +120,6 @@ def _op5_sql() -> str:
     return "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), k AS (SELECT doc_id, " + ", ".join(cols) + " FROM t) SELECT doc_id, " + ", ".join(f"len({k})::BIGINT AS n_{k}" for k, *_ in kinds[:4]) + f", sha256({join(kinds[:4])}) AS base_sha256, {join(kinds)} AS spans FROM k"
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op5_pii": op5_pii, "op10_mix_sources": op10_mix_sources}
+QUERIES = {"op3_simhash_dedup": op3_simhash_dedup, "op4_quality_rules": op4_quality_rules, "op5_pii": op5_pii, "op10_mix_sources": op10_mix_sources}
 
 ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op5_pii": _op5_sql(), "op10_mix_sources": OP10_SQL}
