@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pii, quality, simhash
-from .common import table
+from . import langid, mixing, packing, pii, quality, simhash, tokens
+from .common import crc_mod3, table
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,25 @@ FROM d JOIN s5 ON d.source IS NOT DISTINCT FROM s5.source LEFT JOIN e ON d.sourc
 """
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file; it is the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokens.corpus_path(spark)
+    tokens.write(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"), "byte", 2)
+    return tokens.checksums(tokens.read(spark, path))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", crc_mod3(F.col("doc_id")) == 1)
+    profiles = langid.learn(docs.filter("not held_out"))
+    return langid.identify(docs.select("doc_id", "held_out", "text"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -120,6 +139,11 @@ def _op5_sql() -> str:
     return "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), k AS (SELECT doc_id, " + ", ".join(cols) + " FROM t) SELECT doc_id, " + ", ".join(f"len({k})::BIGINT AS n_{k}" for k, *_ in kinds[:4]) + f", sha256({join(kinds[:4])}) AS base_sha256, {join(kinds)} AS spans FROM k"
 
 
-QUERIES = {"op3_simhash_dedup": op3_simhash_dedup, "op4_quality_rules": op4_quality_rules, "op5_pii": op5_pii, "op10_mix_sources": op10_mix_sources}
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), "word", 2)
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_simhash_dedup, op4_quality_rules, op5_pii, op8_packing, op10_mix_sources)}
 
 ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op5_pii": _op5_sql(), "op10_mix_sources": OP10_SQL}
