@@ -32,7 +32,7 @@ REMEMBERED, LONGEST, SLICE = 1_000_000, 64, 12 << 20
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
 
 
-def _byte_letters() -> list[str]:
+def byte_letters() -> list[str]:
     """The characters in which byte-level vocabularies write bytes: printable ones as they are, others from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     rest = iter(range(256, 512))
@@ -53,7 +53,7 @@ class Encoder:
         self.reserved = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.bare: dict[str, bytes] = {}
         self.spaced: dict[str, bytes] = {}  # words with a blank before them, by the word
-        self.letters = str.maketrans(dict(enumerate(_byte_letters())))
+        self.letters = str.maketrans(dict(enumerate(byte_letters())))
         self.blank = self.letters[32]
         self.model = self.tok.model
 

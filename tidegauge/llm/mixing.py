@@ -81,22 +81,41 @@ def hash_thresholds(sizes: DataFrame, budgets: DataFrame, n_keys: int) -> DataFr
     return state.select("key", (F.col("prefix") + whole.cast("long")).alias("threshold"))
 
 
-def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """(ident), size, source_size, target, copies: how often the mix takes each row of ``docs``."""
-    key = F.when(F.col(source).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string")))
-    slim = stored(docs.select(F.col(ident), key.alias("key"), word_count(F.col(text)).alias("size"), id_hash(F.col(ident)).alias("h")), "mix-sizes")
+def _key(source: str) -> Column:
+    return F.when(F.col(source).isNull(), F.lit("2")).otherwise(F.concat(F.lit("1"), F.col(source).cast("string")))
+
+
+def _copies() -> Column:
+    return F.col("whole") + (F.col("h") < F.coalesce(F.col("threshold"), F.lit(0).cast("long"))).cast("long")
+
+
+def limits(slim: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """key, source_size, target, whole, threshold: how often a source is taken whole, and the hash below which once more.
+
+    ``slim`` has (key, size, h) and is read several times, so it should be stored. The result is made
+    once, one row a source, and marked for broadcast if its count allows.
+    """
     targets = kept(source_targets(slim, weights, share, most))
     n = targets.count()
     whole = F.when(F.col("source_size") > 0, F.least(F.floor(F.col("target") / F.col("source_size")), F.lit(most).cast("long"))).otherwise(0)
     targets = targets.withColumn("whole", whole).withColumn("budget", F.col("target") - F.col("whole") * F.col("source_size"))
-    limits = targets.join(hash_thresholds(slim.select("key", "size", "h"), targets.select("key", "budget"), n), "key", "left")
-    out = slim.join(small(limits, n), "key")
-    extra = (F.col("h") < F.coalesce(F.col("threshold"), F.lit(0).cast("long"))).cast("long")
-    return out.select(ident, "size", "source_size", "target", (F.col("whole") + extra).alias("copies"))
+    ends = hash_thresholds(slim.select("key", "size", "h"), targets.select("key", "budget"), n)
+    return small(kept(targets.join(ends, "key", "left")), n)
+
+
+def sizes(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+    """(ident), key, size, h of each row, stored: all that the choice needs."""
+    return stored(docs.select(F.col(ident), _key(source).alias("key"), word_count(F.col(text)).alias("size"), id_hash(F.col(ident)).alias("h")), "mix-sizes")
+
+
+def mix(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """(ident), size, source_size, target, copies: how often the mix takes each row of ``docs``."""
+    slim = sizes(docs, ident, text, source)
+    return slim.join(limits(slim, weights, share, most), "key").select(ident, "size", "source_size", "target", _copies().alias("copies"))
 
 
-def take(docs: DataFrame, mixed: DataFrame, ident: str = "doc_id") -> DataFrame:
-    """Rows of ``docs``, each as often as ``mixed`` says; one row of ``mixed`` an id."""
-    copies = mixed.filter("copies > 0").groupBy(ident).agg(F.max("copies").cast("int").alias("__copies"))
-    out = docs.join(copies, docs[ident].eqNullSafe(copies[ident])).drop(copies[ident])
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies")
+def take(docs: DataFrame, ident: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The mix itself: rows of ``docs``, each as often as it is taken. Texts are not shuffled."""
+    ends = limits(sizes(docs, ident, text, source), weights, share, most)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _key(source).alias("key"), id_hash(F.col(ident)).alias("h")).join(ends, "key")
+    return rows.select("row", F.explode(F.array_repeat(F.lit(1), _copies().cast("int")))).select("row.*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, pii, quality, simhash, tokens
+from . import chat, classifier, langid, media, mixing, packing, pii, quality, simhash, tokens
 from .common import crc_mod3, table
 
 
@@ -139,11 +139,41 @@ def _op5_sql() -> str:
     return "WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), k AS (SELECT doc_id, " + ", ".join(cols) + " FROM t) SELECT doc_id, " + ", ".join(f"len({k})::BIGINT AS n_{k}" for k, *_ in kinds[:4]) + f", sha256({join(kinds[:4])}) AS base_sha256, {join(kinds)} AS spans FROM k"
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", (crc_mod3(F.col("doc_id")) == 1).alias("held_out"))
+    labels = table(spark, sf_dir, "labels").filter(crc_mod3(F.col("doc_id")) != 1)
+    scored = classifier.score(docs, classifier.learn(docs, labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    fixed = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(fixed)
+    path = tokenizer("byte_bpe_50k.json")
+    return chat.digests(chat.format_chats(rows, path), path)
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), "word", 2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_simhash_dedup, op4_quality_rules, op5_pii, op8_packing, op10_mix_sources)}
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.features(media.text_media(table(spark, sf_dir, "documents")))
+    payload = F.col("payload")
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.length(payload).cast("long").alias("payload_bytes"),
+        F.sha2(payload, 256).alias("payload_sha256"),
+        F.crc32(F.substring(payload, -64, 64)).alias("tail_crc32"),
+        F.length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat_ws(":", "frames", F.size("fingerprint"), F.lower(F.hex(F.xxhash64("fingerprint")))).alias("feature"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_language_id, op3_simhash_dedup, op4_quality_rules, op5_pii, op6_quality_classifier, op7_chat_format, op8_packing, op9_media_columns, op10_mix_sources)}
 
 ORACLE_SQL = {"op4_quality_rules": OP4_SQL, "op5_pii": _op5_sql(), "op10_mix_sources": OP10_SQL}
