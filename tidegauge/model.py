@@ -8,7 +8,7 @@ differs from the point being absent.
 Tags are a map from name to a typed text (``s:web1``, ``i:17``, ``d:0.5``,
 ``b:true``), so that equal texts of different types stay apart; ``tags_key``
 renders the map in order of names and serves every join and grouping, as maps
-themselves can't be joined on.
+themselves can't be joined on; the tags can be read back from it.
 """
 
 from __future__ import annotations
@@ -143,11 +143,17 @@ def tag_literal(x: object) -> str:
     return f"{'i' if isinstance(x, int) else 'd' if isinstance(x, float) else 's'}:{x}"
 
 
+_ENTRIES = "array<struct<key:string,value:string>>"
+
+
 def tags_key(tags: Column) -> Column:
-    """``tags`` in one text, by name; names and values are quoted as JSON."""
-    entries = F.sort_array(F.map_entries(tags))
-    quoted = lambda x: F.to_json(F.array(x))
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(quoted(e["key"]), F.lit("="), quoted(e["value"]))), ","), F.lit("}"))
+    """``tags`` as JSON, in order of names."""
+    return F.to_json(F.sort_array(F.map_entries(tags)))
+
+
+def tags_of(key: Column) -> Column:
+    """The tags that a key renders."""
+    return F.map_from_entries(F.from_json(key, _ENTRIES))
 
 
 def no_tags() -> Column:
