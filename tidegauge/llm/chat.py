@@ -27,7 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .encoding import Encoder, byte_letters
+from .common import frugal
+
+from .encoding import byte_letters, encoder
 
 # The template's marks; the reserved id of each is its place after the vocabulary.
 MARKS = ("<s>", "</s>", "[SYS]", "[INST]", "[/INST]", "[ROLE]", "[/ROLE]")
@@ -51,7 +53,7 @@ class Codec:
     """Ids of turns, and turns of ids."""
 
     def __init__(self, tokenizer: str):
-        self.enc = Encoder(tokenizer, "byte", 0)
+        self.enc = encoder(tokenizer, "byte", 0)
         vocab = self.enc.tok.get_vocab()
         size = max(vocab.values()) + 1
         self.mark = {m: size + i for i, m in enumerate(MARKS)}
@@ -129,9 +131,9 @@ def format_chats(conversations: DataFrame, tokenizer: str, conv: str = "conv_id"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (start, *spans)), pa.array(ids, pa.binary())], ["conv_id", "turn", "start", "loss_start", "loss_end", "ids"])
 
     rows = conversations.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    coded = rows.mapInArrow(encode, "conv_id long, turn long, role string, ids binary, a long, b long")
+    coded = rows.mapInArrow(frugal(encode), "conv_id long, turn long, role string, ids binary, a long, b long")
     dealt = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
-    return dealt.mapInArrow(place, "conv_id long, turn long, start long, loss_start long, loss_end long, ids binary")
+    return dealt.mapInArrow(frugal(place), "conv_id long, turn long, start long, loss_start long, loss_end long, ids binary")
 
 
 def digests(formatted: DataFrame, tokenizer: str) -> DataFrame:
@@ -171,4 +173,4 @@ def digests(formatted: DataFrame, tokenizer: str) -> DataFrame:
         close()
         yield batch()
 
-    return formatted.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(frugal(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -14,7 +14,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,14 @@ PIECES = {"byte": re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"
 #: A blank inside a run of white space, or at the end of one.
 _RUN = re.compile(f"[{SPACE}] (?:[{SPACE}]|$)").search
 _ASCII_RUN = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ")
-#: Words remembered, longest word remembered, bytes of text handled at once.
-REMEMBERED, LONGEST, SLICE = 1_000_000, 64, 12 << 20
-#: Letters, then ASCII punctuation: two units for either tokenizer.
+_OTHER_SPACE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: Words remembered in each of two generations, longest word remembered, bytes of text handled at once.
+REMEMBERED, LONGEST, SLICE = 300_000, 64, 4 << 20
+#: Stands for a line break before a word, in texts where every break stands between words.
+_BREAK = "\x00"
+#: Letters beyond ASCII that neither case folding nor composition changes the number of, then ASCII punctuation.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)").fullmatch
+_PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def byte_letters() -> list[str]:
@@ -39,6 +44,29 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(rest)) for b in range(256)]
 
 
+class Words(dict):
+    """Ids by word, with a blank before it or without; a word not met before is encoded.
+
+    Once it is full, what it holds becomes the older generation, from which
+    words still in use come back; the generation before that goes.
+    """
+
+    def __init__(self, encode: Callable[[str, Words], bytes], lead: str):
+        self.encode, self.lead, self.older = encode, lead, {}
+
+    def __missing__(self, w: str) -> bytes:
+        ids = self.older.get(w)
+        if ids is None:
+            return self.encode(w, self)
+        self[w] = ids
+        return ids
+
+    def age(self) -> None:
+        if len(self) > REMEMBERED:
+            self.older = dict(self)
+            self.clear()
+
+
 class Encoder:
     """``kind``: byte or word, see above. ``end``: id appended to each text."""
 
@@ -51,76 +79,78 @@ class Encoder:
         self.kind, self.end = kind, array("I", [end]).tobytes()
         self.pieces, self.joint = PIECES[kind], "\n" if kind == "byte" else " "
         self.reserved = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.bare: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}  # words with a blank before them, by the word
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
-        self.blank = self.letters[32]
-        self.model = self.tok.model
+        self.bare, self.spaced = Words(self._word, ""), Words(self._word, self.letters[32])
+        self.units = self.tok.model.tokenize
+        self.line = self.whole("\n")
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def _core(self, word: str, blank: bool) -> bytes:
-        """Ids of one unit of letters, straight from the merges."""
-        units = word.lower() if self.kind == "word" else word
-        if not units.isascii():
-            units = units.encode().decode("latin-1").translate(self.letters)
-        if blank:
-            units = self.blank + units
-        return array("I", [t.id for t in self.model.tokenize(units)]).tobytes()
-
-    def _word(self, w: str, blank: bool) -> bytes:
-        """Ids of a word, with a blank before it or without. A word with punctuation is remembered once its letters are."""
-        known = self.spaced if blank else self.bare
-        plain = _PLAIN(w)
-        if plain:
-            core, tail = plain.groups()
-            ids = known.get(core)
-            if ids is None:
-                ids = self._core(core, blank)
-                if len(core) <= LONGEST:
-                    known[core] = ids
-                seen = False
-            else:
-                seen = len(w) <= LONGEST
-            if tail:
-                after = self.bare.get(tail)
-                if after is None:
-                    after = self.whole(tail)
-                    if len(tail) <= LONGEST:
-                        self.bare[tail] = after
-                ids += after
-                if seen:
-                    known[w] = ids
-            return ids
-        parts = self.pieces.findall(f" {w}" if blank else w)
-        if len(parts) == 1:
-            ids = self.whole(parts[0])
-            if len(w) <= LONGEST:
+    def _word(self, w: str, known: Words) -> bytes:
+        """Ids of a word, kept unless it is long; one with punctuation is kept once its letters are."""
+        if w.isascii():
+            core = w if w.isalpha() else w.rstrip(_PUNCTUATION)
+            plain = core.isalpha()
+        else:
+            found = _PLAIN(w)
+            plain = found is not None
+            core = found[1] if plain else w
+        if not plain:
+            return self._other(w, known)
+        met = core is not w and (known.get(core) or known.older.get(core))
+        if met:
+            ids = met
+        else:
+            unit = core.lower() if self.kind == "word" else core
+            if not unit.isascii():
+                unit = unit.encode().decode("latin-1").translate(self.letters)
+            ids = array("I", [t.id for t in self.units(known.lead + unit)]).tobytes()
+            if len(core) <= LONGEST:
+                known[core] = ids
+        if core is not w:
+            ids += self.bare[w[len(core) :]]
+            if met and len(w) <= LONGEST:
                 known[w] = ids
-            return ids
-        return b"".join([self._part(x) for x in parts])
+        return ids
 
-    def _part(self, x: str) -> bytes:
-        blank = len(x) > 1 and x[0] == " "
-        w = x[1:] if blank else x
-        return (self.spaced if blank else self.bare).get(w) or self._word(w, blank)
+    def _other(self, w: str, known: Words) -> bytes:
+        """Ids of what isn't letters and then punctuation: by its units of white space and the rest."""
+        if w[:1] == _BREAK and known.lead:
+            ids = known[w] = self.line + self.bare[w[1:]]
+            return ids
+        text = f" {w}" if known.lead else w
+        parts = [text] if text == " " else self.pieces.findall(text)
+        if len(parts) > 1:
+            cut = lambda x: (x[1:], self.spaced) if len(x) > 1 and x[0] == " " else (x, self.bare)
+            return b"".join([words[x] for x, words in map(cut, parts)])
+        ids = self.whole(text)
+        if len(w) <= LONGEST:
+            known[w] = ids
+        return ids
 
     def _runs(self, text: str) -> bool:
-        return any(x in text for x in _ASCII_RUN) if text.isascii() else bool(_RUN(text))
+        for x in _ASCII_RUN:
+            if x in text:
+                return True
+        return not text.isascii() and any(x in text for x in _OTHER_SPACE) and bool(_RUN(text))
 
     def text(self, text: str) -> bytes:
         """The ids of ``text`` and the end id, as little-endian unsigned 32-bit integers."""
-        if any(x in text for x in self.reserved) or (self.kind == "byte" and self._runs(text)):
+        for x in self.reserved:
+            if x in text:
+                return self.whole(text) + self.end
+        if self.kind == "word":
+            ids = list(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
+        elif self._runs(text):
             return self.whole(text) + self.end
-        parts = text.split(" ")
-        byte = self.kind == "byte"
-        ids = list(map((self.spaced if byte else self.bare).get, parts))
-        if None in ids:
-            word = self._word
-            ids = [word(w, byte) if x is None else x for w, x in zip(parts, ids, strict=True)]
-        if byte:
-            ids[0] = self.bare.get(parts[0]) or self._word(parts[0], False)
+        else:  # the first part has no blank before it
+            if not ("\n\n" in text or " \n" in text or _BREAK in text or text[-1:] == "\n"):
+                text = text.replace("\n", f" {_BREAK}")
+            parts = text.split(" ")
+            first, parts[0] = parts[0], ""
+            ids = list(map(self.spaced.__getitem__, parts))
+            ids[0] = self.bare[first]
         ids.append(self.end)
         return b"".join(ids)
 
@@ -130,10 +160,15 @@ class Encoder:
         first = 0
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE)))
-            if len(self.spaced) + len(self.bare) > REMEMBERED:
-                self.spaced.clear()
-                self.bare.clear()
+            self.spaced.age()
+            self.bare.age()
             ids = [self.text(t or "") for t in texts.slice(first, last - first).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)]) >> 2
             yield first, last, np.frombuffer(b"".join(ids), np.uint32), ends
             first = last
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str, kind: str, end: int) -> Encoder:
+    """An encoder that a worker's tasks share, so that later ones find its words."""
+    return Encoder(path, kind, end)
