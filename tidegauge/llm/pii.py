@@ -139,24 +139,37 @@ def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -
 
 
 def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with each span that ``find`` confirms replaced by [KIND]; texts without any stay as they are.
+    """``docs`` with each confirmed span replaced by [KIND]; texts without any stay as they are.
 
     Kinds are replaced one after the other, so what two kinds both match is
-    replaced once, under the kind listed first.
+    replaced once, under the kind listed first; and digits that a span replaced
+    earlier had run into may now be a span of their own. Offsets aren't needed: a text
+    is put together again from the pieces between matches, and the ends of the
+    pieces around a match are its context.
     """
     names = docs.columns
-    out = find(docs, text, kinds).withColumn("__some", F.size("spans") > 0)
+    out = docs.withColumn("__t", F.col(text))
     for kind in kinds:
-        t = F.when(F.col("__some"), F.col(text))
-        out = out.withColumn("__m", F.regexp_extract_all(t, F.lit(kind.pattern), F.lit(0)))
-        out = out.withColumn("__p", F.when(F.size("__m") > 0, F.split(t, kind.pattern, -1)))
-        yes = (lambda x: kind.valid(x)) if kind.valid else (lambda x: F.lit(True))
-        if kind.score < 0.5:  # context alone decides: only where find() has confirmed one of this kind
-            has = F.exists("spans", lambda s: s["kind"] == kind.name)
-            sure = lambda x, yes=yes, has=has: yes(x) & has
-        else:
-            sure = yes
-        tag = F.lit(f"[{kind.name.upper()}]")
-        whole = F.concat(F.array_join(F.zip_with("__m", F.slice("__p", F.lit(1), F.size("__m")), lambda x, p: F.concat(p, F.when(sure(x), tag).otherwise(x))), ""), F.element_at("__p", -1))
-        out = out.withColumn("__t", F.when(F.size("__m") > 0, whole).otherwise(F.col(text))).drop(text, "__m", "__p").withColumnRenamed("__t", text)
-    return out.select(*names)
+        t = F.col("__t")
+        tried = t if kind.trigger is None else F.when(F.contains(t, F.lit(kind.trigger)), t)
+        out = out.withColumn("__m", F.regexp_extract_all(tried, F.lit(kind.pattern), F.lit(0)))
+        some = F.size("__m") > 0
+        out = out.withColumn("__p", F.when(some, F.split(t, kind.pattern, -1)))
+        p = F.col("__p")
+
+        def sure(x: Column, i: Column, kind: Kind = kind, p: Column = p) -> Column:
+            test = kind.valid(x) if kind.valid else F.lit(True)
+            if kind.score >= 0.5:
+                return test
+            near = F.concat(F.substring(F.get(p, i), -40, 40), x, F.substring(F.get(p, i + 1), 1, 40))
+            return test & F.lower(near).rlike(kind.context) if kind.context else F.lit(False)
+
+        told = _told(p, sure, kind)
+        out = out.withColumn("__t", F.when(some, F.concat(F.array_join(told, ""), F.element_at("__p", -1))).otherwise(t)).drop("__m", "__p")
+    return out.withColumn(text, F.col("__t")).select(*names)
+
+
+def _told(p: Column, sure: Callable, kind: Kind) -> Column:
+    """Each piece with the match after it, or with the kind's placeholder."""
+    tag = F.lit(f"[{kind.name.upper()}]")
+    return F.transform("__m", lambda x, i: F.concat(F.get(p, i), F.when(sure(x, i), tag).otherwise(x)))
