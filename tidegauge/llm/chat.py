@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal
+from .common import through_arrow
 
 from .encoding import byte_letters, encoder
 
@@ -131,9 +131,9 @@ def format_chats(conversations: DataFrame, tokenizer: str, conv: str = "conv_id"
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, pa.int64()) for x in (start, *spans)), pa.array(ids, pa.binary())], ["conv_id", "turn", "start", "loss_start", "loss_end", "ids"])
 
     rows = conversations.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(role).cast("string").alias("role"), F.col(text).cast("string").alias("text"))
-    coded = rows.mapInArrow(frugal(encode), "conv_id long, turn long, role string, ids binary, a long, b long")
+    coded = through_arrow(rows, encode, "conv_id long, turn long, role string, ids binary, a long, b long")
     dealt = coded.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
-    return dealt.mapInArrow(frugal(place), "conv_id long, turn long, start long, loss_start long, loss_end long, ids binary")
+    return through_arrow(dealt, place, "conv_id long, turn long, start long, loss_start long, loss_end long, ids binary")
 
 
 def digests(formatted: DataFrame, tokenizer: str) -> DataFrame:
@@ -173,4 +173,4 @@ def digests(formatted: DataFrame, tokenizer: str) -> DataFrame:
         close()
         yield batch()
 
-    return formatted.mapInArrow(frugal(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return through_arrow(formatted, run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

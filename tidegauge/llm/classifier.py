@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal
+from .common import through_arrow
 
 PIECE, LEVEL, DICTIONARY, SAMPLES = 512, 3, 112_640, 4000
 ROWS, LONGEST = 2000, 50_000
@@ -137,4 +137,4 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             got = [s.score(t.as_py() or b"") for t in b.column(at).cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(frugal(run), docs.selectExpr("*", "0D AS score").schema)
+    return through_arrow(docs, run, docs.selectExpr("*", "0D AS score").schema)

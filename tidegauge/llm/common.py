@@ -19,6 +19,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows that a frame of per-group or per-file facts may have to be broadcast.
 BROADCAST_ROWS = 100_000
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,8 +64,16 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def frugal(run: Callable) -> Callable:
-    """``run`` for mapInArrow, which gives memory back to the system when a task ends: workers live on."""
+def through_arrow(df: DataFrame, run: Callable, schema: object) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in little memory.
+
+    Batches are of at most ``BATCH_ROWS`` rows, so that neither side holds
+    much text at once: the session's setting is lowered if it is higher. And
+    memory goes back to the system when a task ends, as workers live on.
+    """
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
 
     def wrapped(batches: Iterator) -> Iterator:
         try:
@@ -72,7 +84,7 @@ def frugal(run: Callable) -> Callable:
             with contextlib.suppress(OSError, AttributeError):  # only glibc has it
                 ctypes.CDLL(None).malloc_trim(0)
 
-    return wrapped
+    return df.mapInArrow(wrapped, schema)
 
 
 def crc_mod3(doc_id: Column) -> Column:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import frugal
+from .common import through_arrow
 
 UNDETERMINED = "und"
 #: N-grams in a profile; training rows aimed at; code points counted at once.
@@ -106,7 +106,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = T
                 g, c = _merged(parts)
                 yield pa.RecordBatch.from_arrays([pa.array([tag] * len(g), pa.string()), pa.array(g, pa.int64()), pa.array(c, pa.int64())], ["lang", "gram", "n"])
 
-    sums = known.mapInArrow(frugal(count), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    sums = through_arrow(known, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     top = sums.withColumn("place", place).filter(F.col("place") <= size).select("lang", "gram", "place").toArrow().to_pylist()
     out: dict[str, list] = {}
@@ -150,4 +150,4 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text
             got = [p.predict(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], [*names, "lang_pred", "score"])
 
-    return docs.mapInArrow(frugal(run), schema)
+    return through_arrow(docs, run, schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, stored
+from .common import stored, through_arrow
 
 RATE, UNIT = 8000, 64
 FRAME, HOP, BLOCK = 256, 128, 4096
@@ -95,7 +95,7 @@ def text_media(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(media, pa.binary())], [ident, "n_bytes", "media"])
 
     rows = docs.select(ident, text)
-    return stored(rows.mapInArrow(frugal(run), rows.selectExpr(f"`{ident}`", "0L AS n_bytes", "X'' AS media").schema), "media", compression="zstd")
+    return stored(through_arrow(rows, run, rows.selectExpr(f"`{ident}`", "0L AS n_bytes", "X'' AS media").schema), "media", compression="zstd")
 
 
 def features(recordings: DataFrame, media: str = "media") -> DataFrame:
@@ -111,4 +111,4 @@ def features(recordings: DataFrame, media: str = "media") -> DataFrame:
             cols = [pa.array(payload, pa.binary()), pa.array([n for _, n in found], pa.int32()), pa.array([c for c, _ in found], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*names, "payload", "frames", "fingerprint"])
 
-    return recordings.mapInArrow(frugal(run), recordings.selectExpr("*", "X'' AS payload", "0 AS frames", "cast(array() AS array<bigint>) AS fingerprint").schema)
+    return through_arrow(recordings, run, recordings.selectExpr("*", "X'' AS payload", "0 AS frames", "cast(array() AS array<bigint>) AS fingerprint").schema)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, stored
+from .common import stored, through_arrow
 from .encoding import encoder
 
 WINDOW, SHARD_DOCS, SHARD_TOKENS = 4096, 1024, 4 << 20
@@ -46,7 +46,7 @@ def tokenized(docs: DataFrame, tokenizer: str, kind: str, end: int, ident: str =
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), raw], ["doc_id", "ids"])
 
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stored(rows.mapInArrow(frugal(run), "doc_id long, ids binary"), "pack-ids", compression="zstd")
+    return stored(through_arrow(rows, run, "doc_id long, ids binary"), "pack-ids", compression="zstd")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,7 +66,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def weights(tokens: DataFrame) -> tuple[np.ndarray, float]:
     """The idf of each id of the vocabulary (0: not indexed) and the mean length of a row."""
-    got = tokens.select("ids").mapInArrow(frugal(_frequencies), "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    got = through_arrow(tokens.select("ids"), _frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     term, df = got.column(0).to_numpy(), got.column(1).to_numpy()
     at = dict(zip(term[term < 0].tolist(), df[term < 0].tolist(), strict=True))
     rows = max(1, at.get(-1, 0))
@@ -190,4 +190,4 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, iden
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             sequence += got[-1][3] + 1 if got else 0
 
-    return tokens.mapInArrow(frugal(run), PIECES)
+    return through_arrow(tokens, run, PIECES)

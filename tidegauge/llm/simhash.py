@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import frugal, stored
+from .common import stored, through_arrow
 from .components import components
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
@@ -68,7 +68,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """id, fp (the 64 bits as a signed long) for each row."""
-    return docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(frugal(_fingerprints), "id long, fp long")
+    return through_arrow(docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")), _fingerprints, "id long, fp long")
 
 
 def _popcount(x: np.ndarray) -> np.ndarray:
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     nodes = stored(fps.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id")), "simhash-nodes")
     tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * nodes.count() >> 20)
     dealt = buckets(nodes, hot).repartition(tasks, "key")
-    links = stored(dealt.mapInArrow(frugal(_bucket_links), "u long, v long"), "simhash-links")
+    links = stored(through_arrow(dealt, _bucket_links, "u long, v long"), "simhash-links")
     joined = components(links)
     of = nodes.join(joined, nodes["id"] == joined["node"], "left").select("fp", F.coalesce("component", "id").alias("component"))
     return fps.join(of, "fp").select("id", "fp", F.nullif("component", F.lit(NO_ID)).alias("component"))

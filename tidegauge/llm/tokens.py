@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import frugal, shared_dir, small
+from .common import shared_dir, small, through_arrow
 from .encoding import encoder
 
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
@@ -58,7 +58,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end: i
 
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows.mapInArrow(frugal(run), SCHEMA).write.options(**LAYOUT).parquet(path)
+    through_arrow(rows, run, SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -82,7 +82,7 @@ def _checksums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def checksums(read_back: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, counted and summed over the ids themselves."""
-    return read_back.select("doc_id", "start", "ids").mapInArrow(frugal(_checksums), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return through_arrow(read_back.select("doc_id", "start", "ids"), _checksums, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def corpus_path(spark: SparkSession) -> str:
