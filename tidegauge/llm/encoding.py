@@ -83,6 +83,7 @@ class Encoder:
         self.bare, self.spaced = Words(self._word, ""), Words(self._word, self.letters[32])
         self.units = self.tok.model.tokenize
         self.line = self.whole("\n")
+        self.vocabulary = self.tok.get_vocab_size()
 
     def whole(self, text: str) -> bytes:
         return array("I", self.tok.encode(text, add_special_tokens=False).ids).tobytes()
@@ -172,3 +173,11 @@ class Encoder:
 def encoder(path: str, kind: str, end: int) -> Encoder:
     """An encoder that a worker's tasks share, so that later ones find its words."""
     return Encoder(path, kind, end)
+
+
+@lru_cache(maxsize=8)
+def vocabulary(path: str) -> int:
+    """How many ids a tokenizer has."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path).get_vocab_size()

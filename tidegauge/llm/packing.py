@@ -28,80 +28,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, through_arrow
-from .encoding import encoder
+from .encoding import encoder, vocabulary
 
 WINDOW, SHARD_DOCS, SHARD_TOKENS = 4096, 1024, 4 << 20
 K1, B, COMMON = 1.2, 0.75, 0.1
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
+def _by_term(rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Term, row and count of each distinct id of each row, by term, then row; one sort for all rows."""
+    rows = np.repeat(np.arange(len(rests), dtype=np.int64), [len(r) for r in rests])
+    keys = np.concatenate(rests).astype(np.int64) << 32 | rows
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first] >> 32, keys[first] & 0xFFFFFFFF, np.diff(np.concatenate((first, [len(keys)])))
+
+
 def tokenized(docs: DataFrame, tokenizer: str, kind: str, end: int, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, ids (little-endian unsigned 32-bit), as a stored table."""
+    """doc_id, ids, terms, df, as a stored table.
+
+    ``ids`` are little-endian, unsigned, of 16 bits if the vocabulary allows.
+    One row in many also has the document frequencies of the rows around it
+    (``terms``, ``df``: long arrays as bytes), so that those of the corpus can
+    be summed without reading any ids again.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer, kind, end)
+        wide = np.uint16 if max(enc.vocabulary, end + 1) <= 1 << 16 else np.uint32
         for b in batches:
             for first, last, ids, offsets in enc.encode(b.column(1)):
-                raw = pa.BinaryArray.from_buffers(pa.binary(), last - first, [None, pa.py_buffer((offsets * 4).astype(np.int32)), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), raw], ["doc_id", "ids"])
+                n, ids = last - first, ids.astype(wide)
+                raw = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((offsets * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
+                term, _, _ = _by_term([ids[x:y] for x, y in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+                term, df = np.unique(term, return_counts=True)
+                held = lambda x, n=n: pa.array([x.astype(np.int64).tobytes(), *[None] * (n - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), raw, held(term), held(df)], ["doc_id", "ids", "terms", "df"])
 
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return stored(through_arrow(rows, run, "doc_id long, ids binary"), "pack-ids", compression="zstd")
+    return stored(through_arrow(rows, run, "doc_id long, ids binary, terms binary, df binary"), "pack-ids", compression="zstd")
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, df of a task; term -1: its rows, -2: its ids."""
-    df, rows, ids = np.zeros(1, np.int64), 0, 0
+    """term, df of a task."""
+    df = np.zeros(1, np.int64)
     for b in batches:
-        for x in b.column(0):
-            own = np.unique(np.frombuffer(x.as_buffer(), np.uint32))
-            if own[-1] >= len(df):
-                df = np.concatenate((df, np.zeros(int(own[-1]) + 1 - len(df), np.int64)))
-            df[own] += 1
-            rows += 1
-            ids += len(x.as_buffer()) // 4
+        for t, n in zip(b.column(0), b.column(1), strict=True):
+            term, count = np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(n.as_buffer(), np.int64)
+            if term[-1] >= len(df):
+                df = np.concatenate((df, np.zeros(int(term[-1]) + 1 - len(df), np.int64)))
+            df[term] += count
     terms = np.flatnonzero(df)
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((terms, [-1, -2]))), pa.array(np.concatenate((df[terms], [rows, ids])))], ["term", "df"])
+    yield pa.RecordBatch.from_arrays([pa.array(terms), pa.array(df[terms])], ["term", "df"])
 
 
-def weights(tokens: DataFrame) -> tuple[np.ndarray, float]:
+def weights(tokens: DataFrame, wide: int) -> tuple[np.ndarray, float]:
     """The idf of each id of the vocabulary (0: not indexed) and the mean length of a row."""
-    got = through_arrow(tokens.select("ids"), _frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    held = tokens.filter("terms IS NOT NULL").select("terms", "df")
+    got = through_arrow(held, _frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     term, df = got.column(0).to_numpy(), got.column(1).to_numpy()
-    at = dict(zip(term[term < 0].tolist(), df[term < 0].tolist(), strict=True))
-    rows = max(1, at.get(-1, 0))
+    rows, size = tokens.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids"))).first()
+    rows = max(1, rows)
     idf = np.zeros(int(term.max(initial=0)) + 1, np.float32)
-    real = (term >= 0) & (df <= max(1, COMMON * rows))
+    real = df <= max(1, COMMON * rows)
     idf[term[real]] = np.log(1 + (rows - df[real] + 0.5) / (df[real] + 0.5))
-    return idf, at.get(-2, 0) / rows
+    return idf, (size or 0) / wide / rows
 
 
 class Index:
     """BM25 over the rests of a shard."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray, mean: float):
-        self.terms, docs, tf = [], [], []
-        for i, ids in enumerate(rests):
-            t, n = np.unique(ids, return_counts=True)
-            known = idf[t] > 0
-            self.terms.append(t[known])
-            docs.append(np.full(int(known.sum()), i))
-            tf.append(n[known])
-        term, self.doc, n = (np.concatenate(x) for x in (self.terms, docs, tf))
+        self.rests, self.idf = rests, idf
+        term, doc, n = _by_term(rests)
+        known = idf[term] > 0
+        term, self.doc, n = term[known], doc[known], n[known]
         size = np.fromiter(map(len, rests), float, len(rests))
-        weight = idf[term] * n * (K1 + 1) / (n + K1 * (1 - B + B * size[self.doc] / max(mean, 1.0)))
-        order = np.argsort(term, kind="stable")
-        term, self.doc, self.weight = term[order], self.doc[order], weight[order]
+        self.weight = idf[term] * n * (K1 + 1) / (n + (K1 * (1 - B + B * size / max(mean, 1.0)))[self.doc])
         self.first = np.searchsorted(term, np.arange(len(idf) + 1))
         self.used = np.zeros(len(rests), bool)
 
     def neighbours(self, seed: int) -> Iterator[int]:
         """Unused rests by falling score, then place."""
-        t = self.terms[seed]
-        spans = [slice(a, b) for a, b in zip(self.first[t].tolist(), self.first[t + 1].tolist(), strict=True)]
-        score = np.zeros(len(self.used))
-        if spans:
-            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), len(self.used))
+        t = np.unique(self.rests[seed])
+        t = t[self.idf[t] > 0].astype(np.int64)
+        begin, size = self.first[t], self.first[t + 1] - self.first[t]
+        upto = np.cumsum(size)
+        hits = np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin - upto + size, size)
+        score = np.bincount(self.doc[hits], self.weight[hits], len(self.used))
         score[self.used] = -1.0
         for few in (32, len(score)):
             best = np.argpartition(-score, few)[:few] if few < len(score) else np.arange(len(score))
@@ -163,13 +177,14 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, window: int
 def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, ident: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """The pieces of all documents; ``ids`` of a piece as little-endian unsigned 32-bit integers."""
     tokens = tokenized(docs, tokenizer, kind, end, ident, text)
-    idf, mean = weights(tokens)
+    wide = 2 if max(vocabulary(tokenizer), end + 1) <= 1 << 16 else 4
+    idf, mean = weights(tokens, wide)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
         names, rows, size = [], [], 0
         for b in batches:
             for name, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                ids = np.frombuffer(x.as_buffer(), np.uint32)
+                ids = np.frombuffer(x.as_buffer(), np.uint16 if wide == 2 else np.uint32)
                 if rows and (len(rows) == SHARD_DOCS or size + len(ids) > SHARD_TOKENS):
                     yield names, rows
                     names, rows, size = [], [], 0
@@ -185,9 +200,9 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "word", end: int = 2, iden
             got = list(pack_shard(rows, idf, mean, window))
             for at in range(0, len(got), 4096):
                 doc, start, length, seq, offset = zip(*got[at : at + 4096], strict=True)
-                ids = [rows[d][s : s + n].tobytes() for d, s, n in zip(doc, start, length, strict=True)]
+                ids = [rows[d][s : s + n].astype(np.uint32).tobytes() for d, s, n in zip(doc, start, length, strict=True)]
                 cols = [[names[d] for d in doc], start, length, [len(rows[d]) for d in doc], [sequence + q for q in seq], offset]
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols), pa.array(ids, pa.binary())], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
             sequence += got[-1][3] + 1 if got else 0
 
-    return through_arrow(tokens, run, PIECES)
+    return through_arrow(tokens.select("doc_id", "ids"), run, PIECES)
