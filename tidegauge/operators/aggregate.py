@@ -194,9 +194,9 @@ def aggregate(fn: str, frames: list[Frame], clause: Clause, spine: DataFrame, ct
         v = Value(kinds, F.col("kind"), v.of)
     if vector:
         if not vectors:
-            rows = _grouped(_union(scalars, kinds), clause).filter(F.lit(False))
+            rows = members = _grouped(_union(scalars, kinds), clause).filter(F.lit(False))
         else:
-            rows = _grouped(_union(vectors, kinds), clause)
+            rows = members = _grouped(_union(vectors, kinds), clause)
             if scalars:  # every scalar joins each group of its instant
                 groups = rows.select(*ctx, "group").distinct()
                 rows = rows.unionByName(_union(scalars, kinds).join(groups, list(ctx)).withColumn("tags", tags_of(F.col("group"))))
@@ -204,13 +204,14 @@ def aggregate(fn: str, frames: list[Frame], clause: Clause, spine: DataFrame, ct
         rows = _union([*vectors, *scalars], kinds).withColumn("group", F.lit("[]"))
     f = fold(fn, v, percentile)
     if window_ms is not None and (fn == "percentile_agg" or clause.keep_common):
+        members = _expanded(members, spine, ctx, window_ms) if clause.keep_common else None
         rows, window_ms = _expanded(rows, spine, ctx, window_ms), None
     states = rows.groupBy(*ctx, "group").agg(*[c.alias(k) for k, c in f.start.items()])
     if window_ms is not None:
         states = _windowed(states, f, spine, ctx, window_ms, every=not vector)
     if vector:
         if clause.keep_common:
-            states = states.join(_common(rows, ctx), [*ctx, "group"]).withColumn("tags", F.col("common")).withColumn("tags_key", tags_key(F.col("tags")))
+            states = states.join(_common(members, ctx), [*ctx, "group"]).withColumn("tags", F.col("common")).withColumn("tags_key", tags_key(F.col("tags")))
         else:
             states = states.withColumn("tags_key", F.col("group")).withColumn("tags", tags_of(F.col("group")))
         return frame(states, f.end, False, ctx)

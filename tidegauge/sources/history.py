@@ -38,12 +38,33 @@ class History:
     def scrapes_path(self) -> str:
         return f"{self.path}/scrapes"
 
+    @property
+    def exists(self) -> bool:
+        fs, _ = self._fs(self.path)
+        return fs.exists(self._path(self.points_path))
+
     def append(self, ds: Dataset, batch: int = 0) -> None:
         """Adds all scrapes of ``ds``; ``batch`` orders what is appended later after it."""
         held = ds.points.withColumn("batch", F.lit(batch).cast("bigint")).withColumn("date", F.to_date("ts"))
         self._write(held.repartition("date").sortWithinPartitions("ts", "group_key", "metric_key"), self.points_path)
         self._write(ds.scrapes.select("ts", F.to_date("ts").alias("date")).coalesce(1), self.scrapes_path)
 
+    @property
+    def alerts_path(self) -> str:
+        return f"{self.path}/alerts"
+
+    @property
+    def has_alerts(self) -> bool:
+        fs, _ = self._fs(self.path)
+        return fs.exists(self._path(self.alerts_path))
+
+    def append_alerts(self, alerts: DataFrame) -> None:
+        self._write(alerts.withColumn("date", F.to_date("ts")).coalesce(1), self.alerts_path)
+
+    def alerts(self, at: datetime) -> DataFrame:
+        """The alerts of one scrape."""
+        return self.spark.read.parquet(self.alerts_path).filter((F.col("date") == F.to_date(F.lit(at))) & (F.col("ts") == F.lit(at)))
+
     def _write(self, df: DataFrame, path: str, mode: str = "append") -> None:
         df.write.mode(mode).partitionBy("date").options(compression=self.compression, maxRecordsPerFile=self.max_records).parquet(path)
 

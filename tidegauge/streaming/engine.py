@@ -57,7 +57,7 @@ def step(new: Dataset, history: History | None, rules: tuple[n.Node, ...], warm:
     """Rules over new scrapes with the history they look back to; the result holds the new scrapes only."""
     instants = new.scrapes.select("ts").distinct()
     ds = new
-    if history is not None and warm:
+    if history is not None and warm and history.exists:
         ms, count = retention(rules)
         first = instants.agg(F.min("ts")).first()[0]
         if first is None:
@@ -66,13 +66,25 @@ def step(new: Dataset, history: History | None, rules: tuple[n.Node, ...], warm:
         early = old.scrapes.orderBy(F.desc("ts")).limit(count).agg(F.min("ts")).first()[0]
         begin = min(x for x in (first - timedelta(milliseconds=ms), early or first))
         old = history.scan(begin, first - timedelta(milliseconds=1))
+        earliest = old.scrapes.agg(F.min("ts")).first()[0]
         ds = Dataset(old.points.unionByName(new.points), old.scrapes.unionByName(new.scrapes), new.kinds)
     out = apply_rules(ds, rules)
+    if ds is not new and out.alerts is not None and history.has_alerts:
+        out = Outcome(out.dataset, _carried(out.alerts, history.alerts(earliest), earliest))
     points = out.dataset.points.join(instants, "ts", "left_semi")
     alerts = out.alerts.join(instants, "ts", "left_semi") if out.alerts is not None else None
     return Outcome(Dataset(points, instants, out.dataset.kinds), alerts)
 
 
+def _carried(alerts: DataFrame, known: DataFrame, earliest) -> DataFrame:
+    """Alerts that were going on at the first scrape of a window began when that scrape's alerts say; ``known`` has those."""
+    then = known.select("alert_key", "tags_key", F.col("start").alias("began"))
+    rows = alerts.join(then, ["alert_key", "tags_key"], "left")
+    rows = rows.withColumn("start", F.when(F.col("start") == F.lit(earliest), F.coalesce("began", "start")).otherwise(F.col("start"))).drop("began")
+    lasted = F.unix_millis("ts") - F.unix_millis("start")
+    return rows.withColumn("state", F.when(F.col("triggered"), F.when(lasted >= F.col("for_ms"), "FIRING").otherwise("TRIGGERING")).otherwise(F.col("state")))
+
+
 def run(points: DataFrame, rules: tuple[n.Node, ...], processors: list[Processor], checkpoint: str, history: History | None = None, interval: str | None = "60 seconds") -> StreamingQuery:
     """A streaming query over new points; without ``interval`` it takes what there is and ends."""
 
@@ -81,7 +93,9 @@ def run(points: DataFrame, rules: tuple[n.Node, ...], processors: list[Processor
         try:
             out = step(Dataset(df, df.select("ts").distinct()), history, rules)
             if history is not None:
-                history.append(Dataset(out.dataset.points, out.dataset.scrapes), number)
+                history.append(out.dataset, number)
+                if out.alerts is not None:
+                    history.append_alerts(out.alerts)
             for p in processors:
                 p(out.dataset.points, out.alerts, 0)
         finally:
