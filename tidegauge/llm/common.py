@@ -5,9 +5,11 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,7 +72,11 @@ def through_arrow(df: DataFrame, run: Callable, schema: object) -> DataFrame:
     Batches are of at most ``BATCH_ROWS`` rows, so that neither side holds
     much text at once: the session's setting is lowered if it is higher. And
     memory goes back to the system when a task ends, as workers live on.
+    Workers find this package where the driver has it, unless it is installed.
     """
+    env, root = df.sparkSession.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH")]))
     conf = df.sparkSession.conf
     if not 0 < int(conf.get(_BATCH)) <= BATCH_ROWS:
         conf.set(_BATCH, str(BATCH_ROWS))
