@@ -26,10 +26,12 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = {"byte": re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"), "word": re.compile(f"[^{SPACE}]+")}
 #: A blank inside a run of white space, or at the end of one.
 _RUN = re.compile(f"[{SPACE}] (?:[{SPACE}]|$)").search
-_ASCII_RUN = ("  ", "\n ", "\t ", "\r ", "\v ", "\f ")
+_RARE_SPACE = ("\t", "\r", "\v", "\f")
 _OTHER_SPACE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: Words remembered in each of two generations, longest word remembered, bytes of text handled at once.
-REMEMBERED, LONGEST, SLICE = 1_000_000, 64, 4 << 20
+REMEMBERED, LONGEST, SLICE = 300_000, 64, 4 << 20
+#: Slots for words met once.
+_MET = 1 << 23
 #: Stands for a line break before a word, in texts where every break stands between words.
 _BREAK = "\x00"
 #: Letters beyond ASCII that neither case folding nor composition changes the number of, then ASCII punctuation.
@@ -47,12 +49,14 @@ def byte_letters() -> list[str]:
 class Words(dict):
     """Ids by word, with a blank before it or without; a word not met before is encoded.
 
-    Once it is full, what it holds becomes the older generation, from which
-    words still in use come back; the generation before that goes.
+    Most words of a corpus occur once in it, so a word is remembered from the
+    second time on: a byte a hash slot tells whether it was met. Once full,
+    what is held becomes the older generation, from which words still in use
+    come back; the generation before that goes.
     """
 
     def __init__(self, encode: Callable[[str, Words], bytes], lead: str):
-        self.encode, self.lead, self.older = encode, lead, {}
+        self.encode, self.lead, self.older, self.met = encode, lead, {}, bytearray(_MET)
 
     def __missing__(self, w: str) -> bytes:
         ids = self.older.get(w)
@@ -61,10 +65,19 @@ class Words(dict):
         self[w] = ids
         return ids
 
+    def keep(self, w: str, ids: bytes) -> None:
+        slot = hash(w) & (_MET - 1)
+        if self.met[slot]:
+            if len(w) <= LONGEST:
+                self[w] = ids
+        else:
+            self.met[slot] = 1
+
     def age(self) -> None:
         if len(self) > REMEMBERED:
             self.older = dict(self)
             self.clear()
+            self.met = bytearray(_MET)
 
 
 class Encoder:
@@ -107,18 +120,18 @@ class Encoder:
             if not unit.isascii():
                 unit = unit.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.units(known.lead + unit)]).tobytes()
-            if len(core) <= LONGEST:
-                known[core] = ids
+            known.keep(core, ids)
         if core is not w:
             ids += self.bare[w[len(core) :]]
-            if met and len(w) <= LONGEST:
-                known[w] = ids
+            if met:
+                known.keep(w, ids)
         return ids
 
     def _other(self, w: str, known: Words) -> bytes:
         """Ids of what isn't letters and then punctuation: by its units of white space and the rest."""
         if w[:1] == _BREAK and known.lead:
-            ids = known[w] = self.line + self.bare[w[1:]]
+            ids = self.line + self.bare[w[1:]]
+            known.keep(w, ids)
             return ids
         text = f" {w}" if known.lead else w
         parts = [text] if text == " " else self.pieces.findall(text)
@@ -126,15 +139,15 @@ class Encoder:
             cut = lambda x: (x[1:], self.spaced) if len(x) > 1 and x[0] == " " else (x, self.bare)
             return b"".join([words[x] for x, words in map(cut, parts)])
         ids = self.whole(text)
-        if len(w) <= LONGEST:
-            known[w] = ids
+        known.keep(w, ids)
         return ids
 
     def _runs(self, text: str) -> bool:
-        for x in _ASCII_RUN:
-            if x in text:
-                return True
-        return not text.isascii() and any(x in text for x in _OTHER_SPACE) and bool(_RUN(text))
+        """Whether a blank may be part of a longer run of white space."""
+        if "  " in text or "\n " in text:
+            return True
+        rare = any([x in text for x in _RARE_SPACE]) or not (text.isascii() or not any([x in text for x in _OTHER_SPACE]))
+        return rare and bool(_RUN(text))
 
     def text(self, text: str) -> bytes:
         """The ids of ``text`` and the end id, as little-endian unsigned 32-bit integers."""

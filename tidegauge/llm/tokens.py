@@ -32,6 +32,7 @@ from .encoding import encoder
 SCHEMA = "part int, doc_id long, local_start long, n_tokens long, ids array<int>"
 LAYOUT = {
     "compression": "zstd",
+    "parquet.compression.codec.zstd.level": "1",
     "parquet.writer.version": "PARQUET_2_0",
     "parquet.enable.dictionary": "true",
     "parquet.enable.dictionary#doc_id": "false",
