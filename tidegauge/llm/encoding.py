@@ -26,6 +26,7 @@ SPACE = "\t-\r \x85\xa0  -     　"
 PIECES = {"byte": re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]"), "word": re.compile(f"[^{SPACE}]+")}
 #: A blank inside a run of white space, or at the end of one.
 _RUN = re.compile(f"[{SPACE}] (?:[{SPACE}]|$)").search
+#: White space that ordinary texts lack.
 _RARE_SPACE = ("\t", "\r", "\v", "\f")
 _OTHER_SPACE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: Words remembered in each of two generations, longest word remembered, bytes of text handled at once.
@@ -91,7 +92,7 @@ class Encoder:
         self.tok.model._resize_cache(0)  # words are remembered here
         self.kind, self.end = kind, array("I", [end]).tobytes()
         self.pieces, self.joint = PIECES[kind], "\n" if kind == "byte" else " "
-        self.reserved = [t.content for t in self.tok.get_added_tokens_decoder().values()]
+        self.reserved = [t.content for t in self.tok.get_added_tokens_decoder().values()] + [_BREAK]
         self.letters = str.maketrans(dict(enumerate(byte_letters())))
         self.bare, self.spaced = Words(self._word, ""), Words(self._word, self.letters[32])
         self.units = self.tok.model.tokenize
@@ -142,13 +143,6 @@ class Encoder:
         known.keep(w, ids)
         return ids
 
-    def _runs(self, text: str) -> bool:
-        """Whether a blank may be part of a longer run of white space."""
-        if "  " in text or "\n " in text:
-            return True
-        rare = any([x in text for x in _RARE_SPACE]) or not (text.isascii() or not any([x in text for x in _OTHER_SPACE]))
-        return rare and bool(_RUN(text))
-
     def text(self, text: str) -> bytes:
         """The ids of ``text`` and the end id, as little-endian unsigned 32-bit integers."""
         for x in self.reserved:
@@ -156,13 +150,14 @@ class Encoder:
                 return self.whole(text) + self.end
         if self.kind == "word":
             ids = list(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
-        elif self._runs(text):
-            return self.whole(text) + self.end
-        else:  # the first part has no blank before it
-            if not ("\n\n" in text or " \n" in text or _BREAK in text or text[-1:] == "\n"):
+        else:
+            rare = any([x in text for x in _RARE_SPACE]) or not (text.isascii() or not any([x in text for x in _OTHER_SPACE]))
+            if "  " in text or "\n " in text or (rare and _RUN(text)):  # a blank within a longer run
+                return self.whole(text) + self.end
+            if not (rare or "\n\n" in text or " \n" in text or text[-1:] == "\n"):  # each line break stands alone
                 text = text.replace("\n", f" {_BREAK}")
             parts = text.split(" ")
-            first, parts[0] = parts[0], ""
+            first, parts[0] = parts[0], ""  # the first part has no blank before it
             ids = list(map(self.spaced.__getitem__, parts))
             ids[0] = self.bare[first]
         ids.append(self.end)

@@ -1,7 +1,8 @@
 """Media columns: WAV bytes in, spectral-peak pair fingerprints out.
 
 Samples are framed and windowed, each frame's spectrum is taken, and the
-strongest bin of each band is a peak if it stands out from its band's mean.
+strongest bin of each band is a peak if it stands out from its band's mean and
+exceeds its frame's.
 Each peak is paired with the next few in time; a pair's two bins and time
 difference, and the time of its first peak, make one 64-bit code. Frames are
 handled in blocks, so memory does not grow with a recording but for its peaks.
@@ -60,12 +61,13 @@ def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray, int]:
             part = np.concatenate((part, np.zeros((m - 1) * HOP + FRAME - len(part), np.float32)))
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1))
-        top, high = [], []
+        top, high, overall = [], [], power.mean(1)
         for a, b in zip(BANDS[:-1], BANDS[1:], strict=True):
             band = power[:, a:b]
             k = band.argmax(1)
             top.append(k + a)
-            high.append(band[np.arange(m), k] > 3 * band.mean(1))
+            best = band[np.arange(m), k]
+            high.append((best > 3 * band.mean(1)) & (best > overall))
         t, band = np.nonzero(np.stack(high, 1))
         times.append(t + at)
         bins.append(np.stack(top, 1)[t, band])

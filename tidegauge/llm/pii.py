@@ -49,7 +49,7 @@ def mod97(x: Column) -> Column:
 
 def octets(x: Column) -> Column:
     """Whether every dotted part is at most 255, leading zeros aside."""
-    value = lambda p: F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 4).cast("int"), F.lit(0))
+    value = lambda p: F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 4).try_cast("int"), F.lit(0))
     return F.forall(F.split(x, r"\."), lambda p: value(p) <= 255)
 
 

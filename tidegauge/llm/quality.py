@@ -67,7 +67,7 @@ def default_rules(text: str = "text") -> list[Rule]:
     """Rules over the columns of ``measures`` and, where those don't say enough, the text."""
     n, one = F.col("n_words"), F.lit(1.0)
     t = F.coalesce(F.col(text), F.lit(""))
-    mean = F.col("word_chars") / n
+    mean = F.try_divide(F.col("word_chars"), n)
     unlettered = F.regexp_count(t, F.lit(r"(?<![^\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+(?![^\x20\x09-\x0D])"))
     return [
         Rule("few_words", n < 50, one),
