@@ -22,9 +22,8 @@ def previous(scrapes: DataFrame, n: int = 1) -> DataFrame:
 
 def before(scrapes: DataFrame, ms: int) -> DataFrame:
     """ts, past: each instant and the one ``ms`` milliseconds earlier, if history reaches so far back."""
-    first = scrapes.agg(F.min("ts").alias("first"))
     past = F.timestamp_millis(F.unix_millis("ts") - ms)
-    return scrapes.select("ts", past.alias("past")).crossJoin(F.broadcast(first)).filter("past >= first").select("ts", "past")
+    return scrapes.select("ts", past.alias("past")).filter(F.col("past") >= scrapes.agg(F.min("ts")).scalar())
 
 
 def newest_before(scrapes: DataFrame, ms: int) -> DataFrame:

@@ -148,8 +148,7 @@ def influx(points: DataFrame, range_tag: str = RANGE_TAG) -> DataFrame:
 
 def listing(points: DataFrame, at=None) -> DataFrame:
     """line: one metric of the newest scrape (or that ``at`` an instant) a line, sorted by group, then metric."""
-    last = points.agg(F.max("ts").alias("ts")) if at is None else points.sparkSession.range(1).select(F.lit(at).cast("timestamp").alias("ts"))
-    now = points.join(F.broadcast(last), "ts")  # one row
+    now = points.filter(F.col("ts") == (points.agg(F.max("ts")).scalar() if at is None else F.lit(at)))
     label = group_label(F.col("group_key"), F.col("tags"))
     v = _value()
     line = F.concat(label, F.lit(" "), F.col("metric_key"), F.lit(" = "), _json(v))

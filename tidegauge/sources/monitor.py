@@ -24,8 +24,7 @@ def metrics(ds: Dataset, failed: DataFrame | None = None, has_config: bool = Tru
     per = ds.points.groupBy("ts").agg(F.count_distinct("group_key", "tags_key").alias("groups"), F.count(F.lit(1)).alias("metric"))
     out = ds.scrapes.select("ts").join(per, "ts", "left").join(lookback.collection_interval(ds.scrapes), "ts")
     out = out.join(failed, "ts", "left") if failed is not None else out.withColumn("failed", F.lit(0))
-    first = ds.scrapes.agg(F.min("ts").alias("first"))
-    out = out.crossJoin(F.broadcast(first))  # one row
+    out = out.withColumn("first", ds.scrapes.agg(F.min("ts")).scalar())
     whole = lambda c: ("int", F.coalesce(F.col(c).cast("bigint"), F.lit(0).cast("bigint")))
     named = {
         "groups": whole("groups"), "metric": whole("metric"), "failed_collections": whole("failed"), "has_config_file": ("bool", F.lit(has_config)),
