@@ -175,9 +175,12 @@ def test_history_round_trip(spark, tmp_path, compression):
     key = lambda df: sorted((r.ts, r.group_key, r.tags_key, r.metric_key, r.i, r.d) for r in df.collect())
     assert key(h.scan().points) == key(ds.points)
     assert key(h.scan(instant(1, 21600), instant(2, 21600)).points) == key(ds.points.filter(F.col("ts").between(instant(1, 21600), instant(2, 21600))))
+    assert not h.overlaps
     h.append(Dataset(ds.points.filter("ts = timestamp'2024-01-01'").withColumn("i", F.lit(99).cast("bigint")), ds.scrapes.limit(1)), batch=1)
     assert key(h.scan().points) == key(ds.points)
+    assert h.overlaps
     h.compact()
+    assert not h.overlaps
     assert key(h.scan().points) == key(ds.points) and h.catalog().count() == 2 and h.scan().scrapes.count() == 6
     assert [r.ts for r in h.reversed().collect()] == sorted([r.ts for r in ds.points.collect()], reverse=True)
     assert [r.i for r in h.group("A", '[{"key":"h","value":"i:1"}]', instant(3, 21600)).collect()] == [3, 4, 5]
@@ -267,3 +270,19 @@ def test_alert_state_store(spark, tmp_path):
     q.awaitTermination(180)
     got = [r.state for r in spark.sql("SELECT * FROM alert_states ORDER BY ts").collect()]
     assert got == ["TRIGGERING", "FIRING", "UNKNOWN", "OK", "UNKNOWN", "FIRING"]
+
+
+def test_scans_push_down(spark, tmp_path):
+    h = History(spark, str(tmp_path / "h"))
+    h.append(series(spark))
+    df = evaluate(h.scan(instant(1, 21600), instant(2, 21600)), {"x": "A x + 1"})
+    plan = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    scan = plan[plan.index("/points") :].split("\n\n")[0]
+    assert "EqualTo(group_key,A)" in scan and "EqualTo(metric_key,x)" in scan and "PartitionFilters: [isnotnull(date" in scan
+    assert "group_path" not in scan and "metric_path" not in scan
+
+
+def test_metrics_of_a_group_need_no_join(spark):
+    ds = series(spark)
+    plan = evaluate(ds, {"x": "A x * 2 + A y / A z"})._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" not in plan

@@ -2,7 +2,9 @@
 
 ``append`` adds scrapes, ``compact`` rewrites dates into few sorted files,
 ``retain`` drops the oldest dates until a size is met. Reading prunes by date
-and by statistics, and of groups stored twice for an instant keeps the first.
+and by statistics. Of groups stored twice for an instant the first is kept;
+that takes a shuffle, so whether any append overlapped what was there is
+recorded, and a history without overlaps is read as it is.
 """
 
 from __future__ import annotations
@@ -45,10 +47,28 @@ class History:
 
     def append(self, ds: Dataset, batch: int = 0) -> None:
         """Adds all scrapes of ``ds``; ``batch`` orders what is appended later after it."""
+        if self.exists:
+            newest = self.spark.read.parquet(self.scrapes_path).agg(F.max("ts")).first()[0]
+            oldest = ds.scrapes.agg(F.min("ts")).first()[0]
+            if newest is not None and oldest is not None and oldest <= newest:
+                self._mark(True)
         held = ds.points.withColumn("batch", F.lit(batch).cast("bigint")).withColumn("date", F.to_date("ts"))
         self._write(held.repartition("date").sortWithinPartitions("ts", "group_key", "metric_key"), self.points_path)
         self._write(ds.scrapes.select("ts", F.to_date("ts").alias("date")).coalesce(1), self.scrapes_path)
 
+    @property
+    def overlaps(self) -> bool:
+        """Whether a scrape may be stored more than once."""
+        fs, _ = self._fs(self.path)
+        return fs.exists(self._path(f"{self.path}/overlaps"))
+
+    def _mark(self, overlaps: bool) -> None:
+        fs, at = self._fs(f"{self.path}/overlaps")
+        if overlaps:
+            fs.create(at, True).close()
+        else:
+            fs.delete(at, False)
+
     @property
     def alerts_path(self) -> str:
         return f"{self.path}/alerts"
@@ -80,7 +100,7 @@ class History:
 
         points = ranged(self.spark.read.schema(SCHEMA).parquet(self.points_path))
         scrapes = ranged(self.spark.read.schema("ts timestamp, date date").parquet(self.scrapes_path)).select("ts").distinct()
-        return Dataset(first_wins(points).drop("batch", "date"), scrapes)
+        return Dataset((first_wins(points) if self.overlaps else points).drop("batch", "date"), scrapes)
 
     def reversed(self, begin: datetime | None = None, end: datetime | None = None) -> DataFrame:
         return self.scan(begin, end).points.orderBy(F.desc("ts"), "group_key", "metric_key")
@@ -102,7 +122,8 @@ class History:
 
     def compact(self, files_a_date: int = 1) -> None:
         """Rewrites the history with points of a series together within ranges of time; the old one is replaced at the end."""
-        held = first_wins(self.spark.read.schema(SCHEMA).parquet(self.points_path))
+        held = self.spark.read.schema(SCHEMA).parquet(self.points_path)
+        held = first_wins(held) if self.overlaps else held
         scrapes = self.spark.read.schema("ts timestamp, date date").parquet(self.scrapes_path).distinct()
         fs, path = self._fs(self.path)
         for name, df in (("points", held.repartition("date", F.pmod(F.xxhash64("group_key", "tags_key"), F.lit(files_a_date))).sortWithinPartitions("date", "group_key", "metric_key", "tags_key", "ts")), ("scrapes", scrapes.coalesce(1))):
@@ -111,6 +132,7 @@ class History:
             fs.delete(old, True)
             if not fs.rename(new, old):
                 raise OSError(f"could not replace {old}")
+        self._mark(False)
 
     def retain(self, max_bytes: int) -> list[str]:
         """Drops the oldest dates until the points take at most ``max_bytes``; returns the dates dropped. The newest date stays."""
