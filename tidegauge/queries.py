@@ -16,9 +16,11 @@ from .operators import lookback
 from .operators.rules import Outcome, apply_rules
 from .plans.evaluate import evaluate_frames
 from .plans.frame import Frame
+from .plans.nodes import Collect
 from .plans.parser import parse_rules
 from .sinks import lines
-from .sources import tables
+from .sources import collectd, json_flat, monitor, resolver, tables
+from .sources.history import first_wins
 
 Load = Callable[[SparkSession, str], Dataset]
 
@@ -320,3 +322,92 @@ sink("sink_wavefront", lambda p: lines.wavefront(_whole(p)), f"""SELECT 'evh.' |
 sink("sink_influx", lambda p: lines.influx(_whole(p)), f"""SELECT 'evh.' || type || ',type=' || type || ' ' || m || '=' || x || 'i ' || (ts_ms * 1000000) AS line FROM {_LONG}""")
 sink("sink_json", lambda p: lines.json_scrapes(_whole(p)).select(ts_ms(), "json"), """SELECT ts_ms, '{"ts_msec":' || ts_ms || ',"ts":"' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","data":{' || string_agg('"evh.' || type || '{type=\\"' || type || '\\"}":{"cum":' || cum || ',"n":' || n || '}', ',' ORDER BY type) || '}}' AS json FROM e GROUP BY ts_ms""")
 sink("sink_listing", lambda p: lines.listing(_whole(p)), f"""SELECT 'evh.' || type || '{{type="' || type || '"}} ' || m || ' = ' || x AS line FROM {_LONG} WHERE ts_ms = (SELECT max(ts_ms) FROM sp)""")
+
+# --- sources ---------------------------------------------------------------------------
+
+
+def source(name: str, run: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    QUERIES[name] = run
+    ORACLE_SQL[name] = sql
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nested = F.concat(F.lit('{"p":'), F.col("props"), F.lit(',"a":['), F.col("user_id").cast("string"), F.lit(',"'), F.col("event_type"), F.lit('",null]}'))
+    flat = json_flat.flatten(_events(spark, sf_dir).select("event_id", nested.alias("j")), "j")
+    return flat.select("event_id", F.array_join("metric", ".").alias("metric"), "kind", F.coalesce(F.col("i").cast("string"), F.col("s")).alias("v"))
+
+
+source("src_json_flatten", _json, """
+SELECT event_id, 'body.p.k' AS metric, 'int' AS kind, props->>'$.k' AS v FROM events
+UNION ALL SELECT event_id, 'body.a.0', 'int', user_id::VARCHAR FROM events
+UNION ALL SELECT event_id, 'body.a.1', 'string', event_type FROM events
+UNION ALL SELECT event_id, 'body.a.2', 'empty', NULL FROM events""")
+
+
+def _collectd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    text = lambda c: F.col(c).cast("string")
+    messages = e.select(
+        F.array(F.col("user_id").cast("string"), text("value")).alias("values"), F.array(F.lit("rx"), F.lit("tx")).alias("dsnames"), F.col("event_id").cast("double").alias("time"), F.concat(F.lit("h"), text("user_id")).alias("host"),
+        F.col("event_type").alias("plugin"), F.concat(F.lit("i[user="), text("user_id"), F.lit(",x=y]")).alias("plugin_instance"), F.lit("if").alias("type"), F.lit("").alias("type_instance"),
+    )
+    tag = lambda k: tag_value(F.try_element_at("tags", F.lit(k))).text().alias(k)
+    return collectd.to_points(messages).select(ts_ms(), "group_key", tag("host"), tag("user"), tag("x"), "metric_key", F.round(F.coalesce("d", F.col("i").cast("double")), 6).alias("v"))
+
+
+source("src_collectd", _collectd, """
+SELECT event_id * 1000 AS ts_ms, 'collectd.' || event_type || '.i' AS group_key, 'h' || user_id AS host, user_id::VARCHAR AS "user", 'y' AS x, m AS metric_key, round(CASE WHEN m = 'if.rx' THEN user_id ELSE value END, 6)::DOUBLE AS v
+FROM events, (SELECT unnest(['if.rx', 'if.tx']) AS m)""")
+
+
+def _hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seen = _events(spark, sf_dir).select(F.date_trunc("hour", "ts").alias("ts"), F.col("user_id").cast("string").alias("host"))
+    found = collectd.host_states(seen, seen.select("ts").distinct(), remember_ms=3 * 3_600_000)
+    return found.select(ts_ms(), tag_value(F.try_element_at("tags", F.lit("host"))).text().alias("host"), F.col("b").alias("up"))
+
+
+source("src_collectd_hosts", _hosts, """
+WITH s AS (SELECT DISTINCT epoch_ms(date_trunc('hour', ts)) AS ts_ms, user_id::VARCHAR AS host FROM events), p AS (SELECT DISTINCT ts_ms FROM s)
+SELECT p.ts_ms, s.host, max(s.ts_ms) = p.ts_ms AS up FROM p JOIN s ON s.ts_ms > p.ts_ms - 10800000 AND s.ts_ms <= p.ts_ms GROUP BY p.ts_ms, s.host""")
+
+
+def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two stored copies of every scrape, the later with other values: groups of the earlier stay."""
+    p = H(spark, sf_dir).points
+    later = p.withColumn("i", F.col("i") + 1).withColumn("batch", F.lit(2).cast("bigint"))
+    some = p.filter("group_key <> 'evh.view' OR metric_key <> 'n'").withColumn("batch", F.lit(1).cast("bigint"))
+    return first_wins(later.unionByName(some)).filter("kind = 'int'").select(ts_ms(), "group_key", "metric_key", F.col("i").alias("v"))
+
+
+source("merge_first_wins", _merged, f"WITH {HOURLY.strip()} SELECT ts_ms, 'evh.' || type AS group_key, m AS metric_key, CASE WHEN m = 'n' THEN n ELSE cum END AS v FROM e, (SELECT unnest(['n', 'cum']) AS m) WHERE type <> 'view' OR m = 'cum'")
+
+
+def _monitor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return monitor.metrics(H(spark, sf_dir)).select(ts_ms(), "metric_key", F.coalesce("i", F.col("b").cast("bigint")).alias("v"))
+
+
+source("self_monitoring", _monitor, f"""WITH {HOURLY.strip()}, g AS (SELECT sq.ts_ms, count(*) AS groups, coalesce(sq.ts_ms - any_value(prev), 0) AS interval, sq.ts_ms - (SELECT min(ts_ms) FROM sp) AS uptime FROM sq JOIN e ON e.ts_ms = sq.ts_ms GROUP BY sq.ts_ms)
+SELECT ts_ms, m.k AS metric_key, m.v::BIGINT AS v FROM (SELECT ts_ms, unnest([{{'k': 'groups', 'v': groups}}, {{'k': 'metric', 'v': groups * 3}}, {{'k': 'failed_collections', 'v': 0}}, {{'k': 'has_config_file', 'v': 1}}, {{'k': 'scrape.interval', 'v': interval}}, {{'k': 'scrape.ts', 'v': ts_ms}}, {{'k': 'scrape.uptime', 'v': uptime}}]) AS m FROM g)""")
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A probe target for each pair of a region and a port."""
+    names = [r[0] for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name").orderBy("r_name").collect()]
+    c = Collect("url", ("http://$0:${port}/",), ("web",), (((0,), tuple((x,) for x in names)), (("port",), ((80,), (81,)))))
+    return resolver.targets(spark, c).select("target", F.array_join("group_path", ".").alias("path"), F.col("tags")["port"].alias("port"))
+
+
+source("src_resolver", _targets, "SELECT 'http://' || r_name || ':' || p || '/' AS target, 'web.' || r_name AS path, 'i:' || p AS port FROM region, (SELECT unnest([80, 81]) AS p)")
+
+
+def _api(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .plans.evaluate import as_json, evaluate
+
+    return as_json(evaluate(H(spark, sf_dir), {"n": "sum(evh.* n)", "c": "evh.click cum"}), ["n", "c"]).select(ts_ms(), "json")
+
+
+source("eval_json", _api, f"""WITH {HOURLY.strip()} SELECT ts_ms, '{{"timestamp_msec":' || ts_ms || ',"timestamp_str":"' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","metrics":{{"n":[{{"tags":{{}},"value":"' || sum(n) || '","name_tags":"n[]"}}],"c":[' || coalesce(max('{{"tags":{{"type":"s:click"}},"value":"' || cum || '","name_tags":"c[{{\\\\"key\\\\":\\\\"type\\\\",\\\\"value\\\\":\\\\"s:click\\\\"}}]"}}') FILTER (type = 'click'), '') || ']}}}}' AS json FROM e GROUP BY ts_ms""".replace("\\\\", "\\"))
