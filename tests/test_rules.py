@@ -114,3 +114,10 @@ def test_attributes_and_message(spark):
     got = {r.tags["h"]: (r.state, r.attributes, r.message) for r in out.collect()}
     assert got["s:a"] == (F, {"one": ["text"], "many": ["5", "text", "c"]}, "G x > 2")
     assert got["s:b"] == (O, {"one": [], "many": ["1", "c"]}, "G x > 2")
+
+
+def test_many_rules(spark):
+    text = "".join(f"define r{i} v = {'G x' if i == 0 else f'r{i - 1} v'} + 1; tag r{i} as n = {i};" for i in range(6))
+    out = apply_rules(replay(spark, [("G", {}, "x", [1, 2])]), parse_rules(text))
+    got = {(r.group_key, r.ts.minute): (r.i, r.tags) for r in out.dataset.points.collect()}
+    assert got["r5", 1] == (8, {"n": "i:5"}) and got["r0", 0] == (2, {"n": "i:0"}) and len(got) == 14

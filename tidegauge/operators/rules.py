@@ -15,6 +15,7 @@ from ..plans import nodes as n
 from ..plans import printer
 from ..plans.compiler import Compiler, Scope
 from ..plans.frame import Frame, frame, on_spine
+from ..storage import cut
 from . import alerts
 
 _VALUES = ["kind", *COLUMN.values()]
@@ -92,11 +93,19 @@ def _with_tags(df: DataFrame, added: list) -> DataFrame:
     return df.withColumn("tags_key", tags_key(F.col("tags")))
 
 
+#: Changes to a dataset after which its points are checkpointed: each change reads them several times, so plans would double.
+CUT_EVERY = 3
+
+
 class Rules:
     """Applies statements to a dataset; aliases hold for later statements."""
 
     def __init__(self, ds: Dataset, scope: Scope = Scope()):
-        self.ds, self.scope, self.found = ds, scope, []
+        self.ds, self.scope, self.found, self.changes = ds, scope, [], 0
+
+    def _change(self, ds: Dataset) -> None:
+        self.changes += 1
+        self.ds = replace(ds, points=cut(ds.points)) if self.changes % CUT_EVERY == 0 else ds
 
     @property
     def compiler(self) -> Compiler:
@@ -122,7 +131,7 @@ class Rules:
             df = _path(c, groups, name, "metric_path")
             made.append(df.select("ts", "group_key", "group_path", "tags", "tags_key", path_key(F.col("metric_path")).alias("metric_key"), "metric_path", *v.columns()))
         new = _once(reduce(lambda a, b: a.unionByName(b), made))
-        self.ds = upsert(self.ds, new, kinds)
+        self._change(upsert(self.ds, new, kinds))
 
     def _Define(self, r: n.Define) -> None:
         c, made, kinds = self.compiler, [], set()
@@ -133,7 +142,7 @@ class Rules:
             made.append(_points(c, x, r.group, name))
             kinds |= x.value.kinds
         if made:
-            self.ds = upsert(self.ds, _once(reduce(lambda a, b: a.unionByName(b), made)), kinds)
+            self._change(upsert(self.ds, _once(reduce(lambda a, b: a.unionByName(b), made)), kinds))
 
     def _SetTag(self, r: n.SetTag) -> None:
         """Renames groups; a renamed group replaces one that has its new name already."""
@@ -149,7 +158,7 @@ class Rules:
         renamed_points = points.join(moves, ["ts", "group_key", "tags_key"]).withColumn("tags", F.col("new_tags")).withColumn("tags_key", F.col("new_key")).select(*_POINT)
         replaced = moves.select("ts", "group_key", F.col("new_key").alias("tags_key")).distinct()
         rest = points.join(moves, ["ts", "group_key", "tags_key"], "left_anti").join(replaced, ["ts", "group_key", "tags_key"], "left_anti")
-        self.ds = replace(self.ds, points=rest.select(*_POINT).unionByName(_once(renamed_points)))
+        self._change(replace(self.ds, points=rest.select(*_POINT).unionByName(_once(renamed_points))))
 
     def _MatchRule(self, r: n.MatchRule) -> None:
         """All combinations of what the selectors match, as rows: the rules run once, over all of them."""
