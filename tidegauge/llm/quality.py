@@ -73,7 +73,7 @@ def default_rules(text: str = "text") -> list[Rule]:
         Rule("few_words", n < 50, one),
         Rule("repeated_windows", 100 * F.col("n_repeat_words") > 50 * n, one),
         Rule("symbols", 10 * F.col("n_symbols") > n, one),
-        Rule("duplicate_lines", 100 * F.col("n_dup_lines") > 30 * F.col("n_lines"), one),
+        Rule("duplicate_lines", 100 * F.col("n_dup_lines") > 50 * F.col("n_lines"), one),
         Rule("mean_word_length", (n > 0) & ((mean < 2) | (mean > 14)), one),
         Rule("words_without_letters", 100 * unlettered > 30 * n, F.length(t).cast("double")),
         Rule("endless_word", t.rlike(r"[^\x20\x09-\x0D]{1000}"), F.length(t).cast("double")),

@@ -89,7 +89,7 @@ m AS (
   FROM w LEFT JOIN r USING (rid)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+       NOT (base_failed OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 50 * n_lines
             OR (n_words > 0 AND (word_chars / n_words < 2 OR word_chars / n_words > 14))
             OR 100 * len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) > 30 * n_words
             OR regexp_matches(text, '[^\x20\x09-\x0D]{1000}')) AS kept
