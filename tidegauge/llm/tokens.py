@@ -57,8 +57,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end: i
                 yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "local_start", "n_tokens", "ids"])
                 at += int(offsets[-1])
 
-    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("at"))
+    order = ["doc_id", "h", "at"]  # rows repeated without end still spread over partitions
+    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     through_arrow(rows, run, SCHEMA).write.options(**LAYOUT).parquet(path)
 
 
