@@ -30,7 +30,7 @@ _RUN = re.compile(f"[{SPACE}] (?:[{SPACE}]|$)").search
 _RARE_SPACE = ("\t", "\r", "\v", "\f")
 _OTHER_SPACE = tuple(chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: Words remembered in each of two generations, longest word remembered, bytes of text handled at once.
-REMEMBERED, LONGEST, SLICE = 300_000, 64, 4 << 20
+REMEMBERED, LONGEST, SLICE = 450_000, 64, 4 << 20
 #: Slots for words met once.
 _MET = 1 << 23
 #: Stands for a line break before a word, in texts where every break stands between words.

@@ -8,8 +8,8 @@ A row holds its offset within its file; the offsets of files, one row each,
 turn that into an offset in the whole corpus.
 
 Defined results: null text is an empty text: just the end id. Null ids come
-first. Rows with an equal id stand next to each other, ordered by a hash of
-their text. An empty table makes an empty file set. Further columns are not
+first. Rows with an equal id stand next to each other, in the order read. An
+empty table makes an empty file set. Further columns are not
 written.
 """
 
@@ -57,8 +57,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, kind: str = "byte", end: i
                 yield pa.RecordBatch.from_arrays(cols, ["part", "doc_id", "local_start", "n_tokens", "ids"])
                 at += int(offsets[-1])
 
-    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.monotonically_increasing_id().alias("at"))
-    order = ["doc_id", "h", "at"]  # rows repeated without end still spread over partitions
+    rows = docs.select(F.col(ident).cast("long").alias("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("at"))
+    order = ["doc_id", "at"]  # rows repeated without end still spread over partitions
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     through_arrow(rows, run, SCHEMA).write.options(**LAYOUT).parquet(path)
 
