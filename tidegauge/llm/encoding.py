@@ -121,7 +121,11 @@ class Encoder:
             if not unit.isascii():
                 unit = unit.encode().decode("latin-1").translate(self.letters)
             ids = array("I", [t.id for t in self.units(known.lead + unit)]).tobytes()
-            known.keep(core, ids)
+            slot = hash(core) & (_MET - 1)  # as keep() does; this is the hot path
+            if not known.met[slot]:
+                known.met[slot] = 1
+            elif len(core) <= LONGEST:
+                known[core] = ids
         if core is not w:
             ids += self.bare[w[len(core) :]]
             if met:
