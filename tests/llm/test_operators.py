@@ -227,6 +227,17 @@ def test_near_duplicates_of_awkward_texts(spark, docs, nothing):
     assert simhash.representatives(nothing).count() == 0 and simhash.near_duplicates(nothing).count() == 0
 
 
+def test_one_row_of_each_group_however_ids_repeat(spark):
+    """Groups of texts are apart although they share an id or have none."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    made = [(None, text("a")), (None, text("b")), (None, text("b")), (5, text("c")), (5, text("d")), (7, text("a")), (8, text("d")), (5, text("c"))]
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    kept = Counter(map(tuple, simhash.representatives(df).collect()))
+    assert kept == Counter([(7, text("a")), (None, text("b")), (5, text("c")), (5, text("d"))])
+    got = Counter((r.id, r.component) for r in simhash.near_duplicates(df).collect())
+    assert got == Counter({(None, 7): 1, (7, 7): 1, (None, None): 2, (5, 5): 3, (8, 5): 1})
+
+
 # --- quality rules --------------------------------------------------------------
 
 

@@ -13,9 +13,9 @@ millions; a star algorithm then joins the forests.
 
 Defined results: null text, like text of blanks, has no words and fingerprint
 zero; such texts link to each other and to any fingerprint of three bits or
-fewer. Rows with an equal id are one document where components are named.
-Null ids take part; a component without any other id is null. Further columns
-are ignored.
+fewer. Links join fingerprints, never ids: rows that share an id, or have none,
+are apart unless their texts are near. An id only names a component; one without
+any id is named null. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,13 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, through_arrow
+from .common import small, stored, through_arrow
 from .components import components
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
 #: Shingles whose bits are unpacked at once, and trie-node pairs walked at once.
 CHUNK, FRONTIER = 1 << 15, 1 << 20
-NO_ID = 2**63 - 1
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -147,54 +146,80 @@ def trie_links(keys: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> np.n
 
 
 def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of one partition: each node to the smallest id that its bucket's forest joins it to."""
-    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(3)] for b in batches if b.num_rows]
+    """Links of one partition: each node to the first that its bucket's forest joins it to."""
+    parts = [[b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] for b in batches if b.num_rows]
     if not parts:
         return
-    key, fp, ident = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
     bits = fp.view(np.uint64)
     order = np.lexsort((bits, key))
-    key, bits, ident = key[order], bits[order], ident[order]
+    key, bits, fp = key[order], bits[order], fp[order]
     root = trie_links(key, bits)
     linked = np.flatnonzero(root != np.arange(len(root)))
-    yield pa.RecordBatch.from_arrays([pa.array(ident[linked]), pa.array(ident[root[linked]])], ["u", "v"])
+    yield pa.RecordBatch.from_arrays([pa.array(fp[linked]), pa.array(fp[root[linked]])], ["u", "v"])
 
 
 def buckets(nodes: DataFrame, hot: int) -> DataFrame:
-    """key, fp, id: each node once for each of its four 16-bit quarters.
+    """key, fp: each node once for each of its four 16-bit quarters.
 
     In buckets of over ``hot`` nodes, each node goes instead to four buckets by
     the 12-bit quarters of its other 48 bits.
     """
     part = lambda x, at, width: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
     quarters = F.array(*[part(F.col("fp"), 16 * q, 16) * 4 + q for q in range(4)])
-    dealt = nodes.select("fp", "id", F.explode(quarters).alias("key"))
+    dealt = nodes.select("fp", F.explode(quarters).alias("key"))
     full = dealt.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("full"))
     dealt = dealt.join(F.broadcast(full), "key", "left")  # at most 4 * 65,536 keys
     turned = F.expr("shiftrightunsigned(fp, cast(key % 4 as int) * 16) | shiftleft(fp, 64 - cast(key % 4 as int) * 16)")
     finer = F.array(*[part(F.col("turned"), 16 + 12 * j, 12) * 4 + j for j in range(4)])
-    again = dealt.filter("full").withColumn("turned", turned).select(F.explode(finer).alias("sub"), "key", "fp", "id")
-    again = again.select((F.lit(1 << 18) + F.col("key") * (1 << 14) + F.col("sub")).alias("key"), "fp", "id")
-    return dealt.filter("full is null").select("key", "fp", "id").unionByName(again)
+    again = dealt.filter("full").withColumn("turned", turned).select(F.explode(finer).alias("sub"), "key", "fp")
+    again = again.select((F.lit(1 << 18) + F.col("key") * (1 << 14) + F.col("sub")).alias("key"), "fp")
+    return dealt.filter("full is null").select("key", "fp").unionByName(again)
+
+
+def _joined(nodes: DataFrame, hot: int) -> DataFrame:
+    """node, component (both fingerprints) for each of ``nodes`` (fp) that links join to a smaller one."""
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * nodes.count() >> 20)
+    dealt = buckets(nodes, hot).repartition(tasks, "key")
+    return components(stored(through_arrow(dealt, _bucket_links, "u long, v long"), "simhash-links"))
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", hot: int = 50_000) -> DataFrame:
     """id, fp, component (the smallest id reachable by links) for each row."""
     fps = stored(fingerprints(docs, ident, text), "simhash")
-    nodes = stored(fps.groupBy("fp").agg(F.min(F.coalesce("id", F.lit(NO_ID))).alias("id")), "simhash-nodes")
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * nodes.count() >> 20)
-    dealt = buckets(nodes, hot).repartition(tasks, "key")
-    links = stored(through_arrow(dealt, _bucket_links, "u long, v long"), "simhash-links")
-    joined = components(links)
-    of = nodes.join(joined, nodes["id"] == joined["node"], "left").select("fp", F.coalesce("component", "id").alias("component"))
-    return fps.join(of, "fp").select("id", "fp", F.nullif("component", F.lit(NO_ID)).alias("component"))
+    nodes = stored(fps.groupBy("fp").agg(F.min("id").alias("id")), "simhash-nodes")
+    joined = _joined(nodes, hot)
+    joined = joined.union(joined.select("component", "component").distinct())
+    named = joined.join(nodes, joined["node"] == nodes["fp"]).groupBy("component").agg(F.min("id").alias("name"))
+    named = joined.join(named, "component").select("node", "name")
+    of = nodes.join(named, nodes["fp"] == named["node"], "left").select("fp", F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("name")).alias("component"))
+    return fps.join(of, "fp").select("id", "fp", "component")
+
+
+def first_rows(rows: DataFrame, joined: DataFrame) -> DataFrame:
+    """row of the first of each component: by id, null last, then by what it holds.
+
+    ``rows`` has (row, id, held, fp), ``joined`` (node, component) for each fp that isn't its component's name.
+    """
+    first = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "held", "row")).alias("first"))
+    named = first.join(joined, first["fp"] == joined["node"], "left").select(F.coalesce("component", "fp").alias("component"), "first")
+    return named.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
 
 
-def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names its component; of rows that share an id, one."""
+def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", hot: int = 50_000) -> DataFrame:
+    """One row of ``docs`` of each component, that with the least id; ids may repeat or be null."""
     names = docs.columns
-    found = near_duplicates(docs, ident, text)
-    first = found.filter(F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__id")).distinct()
-    out = docs.join(first, docs[ident].eqNullSafe(first["__id"]), "left_semi")
-    repeated = docs.groupBy(ident).count().filter("count > 1")
-    return (out.dropDuplicates([ident]) if repeated.limit(1).count() else out).select(*names)
+    whole = stored(docs.select(F.struct(*names).alias("d"), F.monotonically_increasing_id().alias("row")), "simhash-rows", compression="zstd")
+    slim = whole.select("row", F.col("d")[text].alias("text"))
+    fps = through_arrow(slim, _fingerprints, "id long, fp long").withColumnRenamed("id", "row")
+    fps = stored(fps, "simhash")
+    held = whole.select("row", F.col("d")[ident].cast("long").alias("id"), F.xxhash64(*[F.col("d")[c] for c in names]).alias("held"))
+    rows = stored(fps.join(held, "row"), "simhash-held")
+    first = first_rows(rows, _joined(rows.select("fp").distinct(), hot))
+    return without(whole, rows, first).select("d.*")
+
+
+def without(whole: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
+    """``whole`` but for the ``rows`` that are not ``first``. Few of them are broadcast, so that no text is shuffled."""
+    others = stored(rows.select("row").join(first, "row", "left_anti"), "simhash-others")
+    return whole.join(small(others, others.count()), "row", "left_anti")
