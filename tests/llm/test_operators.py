@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from tidegauge.llm import chat, classifier, encoding, langid, media, mixing, packing, pii, quality, simhash, tokens
+from tidegauge.llm import chat, classifier, encoding, langid, media, mixing, packing, pii, quality, similar, simhash, tokens
 from tidegauge.llm.queries import tokenizer
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -238,6 +238,34 @@ def test_one_row_of_each_group_however_ids_repeat(spark):
     assert got == Counter({(None, 7): 1, (7, 7): 1, (None, None): 2, (5, 5): 3, (8, 5): 1})
 
 
+def test_every_near_copy_goes(spark):
+    """Against all pairs of 5-word shingle sets; SimHash's three bits missed most of these copies."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(400)]
+    texts = [rng.choices(words, k=rng.randint(8, 150)) for _ in range(60)]
+    for i in range(240):  # words replaced, from few to more than 0.8 bears; one base has a third of the copies
+        t = list(texts[0 if i % 3 == 0 else i % 60])
+        for at in rng.sample(range(len(t)), rng.randint(0, max(1, len(t) // 30))):
+            t[at] = rng.choice(words)
+        texts.append(t)
+    sets = {i: {tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for i, t in enumerate(texts)}
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    pairs = [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    for a, b in pairs:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    far = [(a, b) for a, b in pairs if (brute_fingerprint(" ".join(texts[a])) ^ brute_fingerprint(" ".join(texts[b]))).bit_count() > 3]
+    assert len(far) > 50
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r.doc_id for r in simhash.representatives(df).collect()} == {find(i) for i in sets}
+
+
 # --- quality rules --------------------------------------------------------------
 
 

@@ -28,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import similar
 from .common import small, stored, through_arrow
 from .components import components
 
@@ -206,17 +207,20 @@ def first_rows(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return named.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
 
 
-def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", hot: int = 50_000) -> DataFrame:
-    """One row of ``docs`` of each component, that with the least id; ids may repeat or be null."""
+def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = similar.SHINGLE, least: float = similar.LEAST) -> DataFrame:
+    """One row of ``docs`` of each group of texts whose shingles are similar, that with the least id; ids may repeat or be null.
+
+    At a Jaccard similarity of 0.8 SimHash differs by ten of 64 bits, which no
+    budget can tell from unlike texts, so candidates are of MinHash here.
+    """
     names = docs.columns
-    whole = stored(docs.select(F.struct(*names).alias("d"), F.monotonically_increasing_id().alias("row")), "simhash-rows", compression="zstd")
-    slim = whole.select("row", F.col("d")[text].alias("text"))
-    fps = through_arrow(slim, _fingerprints, "id long, fp long").withColumnRenamed("id", "row")
-    fps = stored(fps, "simhash")
-    held = whole.select("row", F.col("d")[ident].cast("long").alias("id"), F.xxhash64(*[F.col("d")[c] for c in names]).alias("held"))
-    rows = stored(fps.join(held, "row"), "simhash-held")
-    first = first_rows(rows, _joined(rows.select("fp").distinct(), hot))
-    return without(whole, rows, first).select("d.*")
+    held = F.xxhash64(*names).alias("held")
+    whole = stored(docs.select(F.struct(*names).alias("d"), F.monotonically_increasing_id().alias("row"), held), "simhash-rows", compression="zstd")
+    texts = whole.select("row", F.col("d")[text].alias("text"))
+    found = stored(similar.sets(texts, "row", "text", width), "simhash-sets")
+    rows = whole.select("row", F.col("d")[ident].cast("long").alias("id"), "held").join(found.select("row", "fp"), "row")
+    rows = stored(rows, "simhash-held")
+    return without(whole, rows, first_rows(rows, similar.joined(found, texts, width, least))).select("d.*")
 
 
 def without(whole: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:
