@@ -155,6 +155,14 @@ def test_identify(spark, docs, nothing):
     assert langid.learn(nothing) == {} and langid.Predictor({}).predict("text") == ("und", 0.0)
 
 
+def test_a_rare_language_keeps_all_its_rows(spark):
+    made = [("en", "the of and to in that is was for it")] * 4000 + [("fr", "le la les des est une dans")] * 2 + [("el", "και το να")]
+    got = langid.learn(spark.createDataFrame(made, "lang string, text string").repartition(3), rows=40)
+    assert set(got) == {"en", "fr", "el"}
+    for lang, text in made[-2:]:
+        assert [unpack(int(g)) for g in got[lang]] == brute_profile([text], langid.PROFILE)
+
+
 # --- SimHash ------------------------------------------------------------------
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .common import through_arrow
 
 UNDETERMINED = "und"
-#: N-grams in a profile; training rows aimed at; code points counted at once.
+#: N-grams in a profile; training rows of a language aimed at; code points counted at once.
 PROFILE, TRAIN_ROWS, PIECE = 300, 30_000, 1 << 18
 BLANK = 32
 
@@ -87,15 +87,16 @@ def ranked(grams: np.ndarray, counts: np.ndarray, size: int = PROFILE) -> np.nda
 
 
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", rows: int = TRAIN_ROWS, size: int = PROFILE) -> dict[str, np.ndarray]:
-    """A profile for each non-null ``lang`` of ``docs``, from about ``rows`` rows.
+    """A profile for each non-null ``lang`` of ``docs``, from about ``rows`` rows each.
 
-    Beyond ``rows`` rows a random share of that size is read; the counts are
+    A language of no more rows is learned from all of them, however large the
+    table; of a larger one a random share of that size is read. The counts are
     summed by the cluster, and ``size`` n-grams a language reach the driver.
     """
     known = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    n = known.select("lang").count()
-    if n > rows:
-        known = known.sample(rows / n, seed=11)
+    n = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    if max(n.values(), default=0) > rows:
+        known = known.sampleBy("lang", {k: min(1.0, rows / x) for k, x in n.items()}, seed=11)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
