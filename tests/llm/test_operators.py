@@ -481,6 +481,22 @@ def test_neighbours_are_by_score():
     assert all(a >= b - 1e-4 for a, b in zip(scores, scores[1:], strict=False))
 
 
+def test_common_ids_find_neighbours_too(spark):
+    """Two topics that half of all documents hold each: no id is rare."""
+    rng = random.Random(3)
+    topics = [["river", "stone", "water", "boat", "fish"], ["music", "piano", "opera", "sound", "voice"]]
+    texts = [" ".join(rng.choices(topics[i % 2], k=40)) for i in range(16)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    tokens = packing.tokenized(df, tokenizer("word_bpe_49k.json"), "word", 2)
+    idf, mean = packing.weights(tokens, 2)
+    got = tokens.orderBy("doc_id").collect()
+    rests = [np.frombuffer(bytes(r.ids), np.uint16) for r in got]
+    assert (idf[np.unique(np.concatenate(rests))] > 0).all()
+    index = packing.Index(rests, idf, mean)
+    index.used[0] = True
+    assert {i % 2 for i in list(dict.fromkeys(index.neighbours(0)))[:7]} == {0}
+
+
 def test_similar_documents_share_sequences():
     topics = [np.arange(100 * k, 100 * k + 100) for k in range(8)]
     rng = np.random.default_rng(2)

@@ -6,8 +6,8 @@ ids of its rests. A seed fills a window first, then its unused neighbours by
 score; one that doesn't fit is cut, and what remains of it seeds the next
 window. The last window of a shard is cut into power-of-two lengths, so there
 is no padding. Document frequencies and the mean length are those of the whole
-corpus; ids that more than a tenth of all documents hold are left out of the
-index, as they hardly tell documents apart.
+corpus. All ids are indexed: common ones weigh little, but may be all that a
+rest has.
 
 No row is shuffled, so no key can be hot: ids are stored once, and a shard is
 a run of stored rows.
@@ -31,7 +31,7 @@ from .common import stored, through_arrow
 from .encoding import encoder, vocabulary
 
 WINDOW, SHARD_DOCS, SHARD_TOKENS = 4096, 1024, 4 << 20
-K1, B, COMMON = 1.2, 0.75, 0.1
+K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
@@ -83,15 +83,14 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def weights(tokens: DataFrame, wide: int) -> tuple[np.ndarray, float]:
-    """The idf of each id of the vocabulary (0: not indexed) and the mean length of a row."""
+    """The idf of each id of the vocabulary (0: held by none) and the mean length of a row."""
     held = tokens.filter("terms IS NOT NULL").select("terms", "df")
     got = through_arrow(held, _frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
     term, df = got.column(0).to_numpy(), got.column(1).to_numpy()
     rows, size = tokens.agg(F.count(F.lit(1)), F.sum(F.octet_length("ids"))).first()
     rows = max(1, rows)
     idf = np.zeros(int(term.max(initial=0)) + 1, np.float32)
-    real = df <= max(1, COMMON * rows)
-    idf[term[real]] = np.log(1 + (rows - df[real] + 0.5) / (df[real] + 0.5))
+    idf[term] = np.log(1 + (rows - df + 0.5) / (df + 0.5))
     return idf, (size or 0) / wide / rows
 
 
