@@ -541,6 +541,17 @@ def test_tone_has_its_bin():
     assert (np.diff(codes & (2**40 - 1)) >= 0).all()
 
 
+def test_different_texts_have_different_peaks():
+    """Short prose: the level of its letters is no content."""
+    rng = random.Random(6)
+    words = ["the", "of", "and", "house", "river", "stone", "light", "under", "over", "green", "walk", "told"]
+    raw = [" ".join(rng.choices(words, k=60)).encode() for _ in range(200)]
+    found = [media.peaks(x + bytes(-len(x) % 64)) for x in raw]
+    assert len({(tuple(t), tuple(f)) for t, f, _ in found}) == len(set(raw))
+    assert np.mean(np.concatenate([f for _, f, _ in found]) == 1) < 0.25
+    assert not len(media.peaks(bytes([90]) * 1000)[0]) and not len(media.peaks(bytes(64))[0])
+
+
 # --- mixing -----------------------------------------------------------------------
 
 

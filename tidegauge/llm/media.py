@@ -1,8 +1,8 @@
 """Media columns: WAV bytes in, spectral-peak pair fingerprints out.
 
-Samples are framed and windowed, each frame's spectrum is taken, and the
-strongest bin of each band is a peak if it stands out from its band's mean and
-exceeds its frame's.
+Samples are framed, freed of each frame's mean and windowed, each frame's
+spectrum is taken, and the strongest bin of each band is a peak if it stands out
+from its band's mean, as it does in noise too; a constant frame has none.
 Each peak is paired with the next few in time; a pair's two bins and time
 difference, and the time of its first peak, make one 64-bit code. Frames are
 handled in blocks, so memory does not grow with a recording but for its peaks.
@@ -30,6 +30,8 @@ RATE, UNIT = 8000, 64
 FRAME, HOP, BLOCK = 256, 128, 4096
 #: Edges of the bands, in bins; peaks paired with each; largest time difference in frames.
 BANDS, FAN, REACH = (1, 8, 20, 48, 129), 3, 63
+#: How far a peak exceeds its band's mean; and the least power that isn't rounding.
+STANDS_OUT, LEAST_POWER = 1.25, 0.5
 _WINDOW = np.hanning(FRAME).astype(np.float32)
 
 
@@ -60,14 +62,16 @@ def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray, int]:
         if len(part) < (m - 1) * HOP + FRAME:
             part = np.concatenate((part, np.zeros((m - 1) * HOP + FRAME - len(part), np.float32)))
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
-        power = np.abs(np.fft.rfft(frames * _WINDOW, axis=1))
-        top, high, overall = [], [], power.mean(1)
+        real = np.clip(len(x) - (np.arange(m) + at) * HOP, 1, FRAME)  # samples of a frame that aren't padding
+        mean = (frames.sum(1) / real).astype(np.float32)[:, None]
+        power = np.abs(np.fft.rfft((frames - np.where(np.arange(FRAME) < real[:, None], mean, np.float32(0))) * _WINDOW, axis=1))
+        top, high = [], []
         for a, b in zip(BANDS[:-1], BANDS[1:], strict=True):
             band = power[:, a:b]
             k = band.argmax(1)
             top.append(k + a)
             best = band[np.arange(m), k]
-            high.append((best > 3 * band.mean(1)) & (best > overall))
+            high.append((best > STANDS_OUT * band.mean(1)) & (best > LEAST_POWER))
         t, band = np.nonzero(np.stack(high, 1))
         times.append(t + at)
         bins.append(np.stack(top, 1)[t, band])
