@@ -10,7 +10,7 @@ The patterns are written so that a scan stays linear in the text: quantifiers
 don't give back, and a run is only tried from its start.
 
 Defined results: null text has no spans; ids may repeat; further columns pass
-through. Offsets are code points, end exclusive.
+through, whatever their names, but for one named spans, which ``find`` replaces. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -132,44 +132,34 @@ def add_spans(docs: DataFrame, kind: Kind, text: str) -> DataFrame:
 
 def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
     """``docs`` with spans: array of (kind, start, end, score), by kind as listed, then start."""
-    out = docs.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
+    names = [c for c in docs.columns if c != "spans"]
+    out = docs.select(F.struct(*names).alias("__row"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     for kind in kinds:
         out = add_spans(out, kind, "__text")
-    return out.withColumn("spans", F.concat(*[F.col(f"__{k.name}") for k in kinds])).drop("__text", *[f"__{k.name}" for k in kinds])
+    return out.select("__row.*", F.concat(*[F.col(f"__{k.name}") for k in kinds]).alias("spans"))
 
 
 def redact(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """``docs`` with each confirmed span replaced by [KIND]; texts without any stay as they are.
+    """``docs`` with each span that ``find`` reports replaced by [KIND]; texts without any stay as they are.
 
-    Kinds are replaced one after the other, so what two kinds both match is
-    replaced once, under the kind listed first; and digits that a span replaced
-    earlier had run into may now be a span of their own. Offsets aren't needed: a text
-    is put together again from the pieces between matches, and the ends of the
-    pieces around a match are its context.
+    Spans that overlap are replaced as one, under the kind of the first of
+    them, or of those that start alike the one listed first.
     """
     names = docs.columns
-    out = docs.withColumn("__t", F.col(text))
-    for kind in kinds:
-        t = F.col("__t")
-        tried = t if kind.trigger is None else F.when(F.contains(t, F.lit(kind.trigger)), t)
-        out = out.withColumn("__m", F.regexp_extract_all(tried, F.lit(kind.pattern), F.lit(0)))
-        some = F.size("__m") > 0
-        out = out.withColumn("__p", F.when(some, F.split(t, kind.pattern, -1)))
-        p = F.col("__p")
-
-        def sure(x: Column, i: Column, kind: Kind = kind, p: Column = p) -> Column:
-            test = kind.valid(x) if kind.valid else F.lit(True)
-            if kind.score >= 0.5:
-                return test
-            near = F.concat(F.substring(F.get(p, i), -40, 40), x, F.substring(F.get(p, i + 1), 1, 40))
-            return test & F.lower(near).rlike(kind.context) if kind.context else F.lit(False)
-
-        told = _told(p, sure, kind)
-        out = out.withColumn("__t", F.when(some, F.concat(F.array_join(told, ""), F.element_at("__p", -1))).otherwise(t)).drop("__m", "__p")
-    return out.withColumn(text, F.col("__t")).select(*names)
-
-
-def _told(p: Column, sure: Callable, kind: Kind) -> Column:
-    """Each piece with the match after it, or with the kind's placeholder."""
-    tag = F.lit(f"[{kind.name.upper()}]")
-    return F.transform("__m", lambda x, i: F.concat(F.get(p, i), F.when(sure(x, i), tag).otherwise(x)))
+    out = find(docs.select(F.struct(*names).alias("row"), F.col(text).alias("t")), "t", kinds)
+    order = F.create_map(*[F.lit(x) for i, k in enumerate(kinds) for x in (k.name, i)])
+    out = out.withColumn("s", F.when(F.size("spans") > 0, F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("o"), s["end"].alias("end"), s["kind"].alias("kind"))))))
+    ends, t = F.col("s")["end"], F.col("t")
+    out = out.withColumn("b", F.transform(F.sequence(F.lit(0), F.floor((F.size("s") - 1) / BLOCK).cast("int")), lambda b: F.array_max(F.slice(ends, b * BLOCK + 1, F.lit(BLOCK)))))
+
+    def upto(i: Column) -> Column:
+        """Where the spans before the i-th end at last."""
+        j = F.floor(i / BLOCK).cast("int")
+        last = lambda x: F.coalesce(F.array_max(x), F.lit(0))
+        return F.greatest(last(F.slice("b", F.lit(1), j)), last(F.slice(ends, j * BLOCK + 1, i - j * BLOCK)))
+
+    out = out.withColumn("h", F.filter(F.transform("s", lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), upto(i).alias("after"))), lambda h: h["start"] >= h["after"]))
+    told = F.transform("h", lambda h: F.concat(F.substring(t, h["after"] + 1, h["start"] - h["after"]), F.lit("["), F.upper(h["kind"]), F.lit("]")))
+    rest = F.substring(t, F.array_max(ends) + 1, F.length(t))
+    out = out.withColumn("new", F.when(F.col("s").isNull(), t).otherwise(F.concat(F.array_join(told, ""), rest)))
+    return out.select(*[F.col("new").alias(c) if c == text else F.col("row")[c].alias(c) for c in names])
