@@ -9,7 +9,8 @@ ties go to the language first in code-point order.
 
 Defined results: null text, and text without a letter, is ``und`` with score
 0, and so is any text if no language could be learned. Repeated rows are
-predicted alike; ids and further columns play no part.
+predicted alike; ids and further columns play no part, and pass through but
+for any named lang_pred or score, which ``identify`` replaces.
 """
 
 from __future__ import annotations
@@ -141,6 +142,7 @@ class Predictor:
 
 def identify(docs: DataFrame, profiles: dict[str, np.ndarray], text: str = "text", size: int = PROFILE) -> DataFrame:
     """``docs`` with lang_pred and score: 1 less the distance as a share of the largest possible."""
+    docs = docs.drop("lang_pred", "score")
     names = docs.columns
     schema = docs.selectExpr("*", "'' AS lang_pred", "0D AS score").schema
     at = names.index(text)
