@@ -7,7 +7,8 @@ only decides how much is evaluated: the verdict is that of all rules together.
 
 Defined results: null text counts as no words (and no lines); a text of blanks
 only has no words; ids may repeat, as nothing is grouped by them; further
-columns pass through untouched. Windows are compared by a 64-bit hash of
+columns pass through untouched, but for those named like a measure or kept,
+which are replaced. Windows are compared by a 64-bit hash of
 their three words, within one text only.
 """
 
@@ -22,6 +23,9 @@ from pyspark.sql import functions as F
 from .common import WORD
 
 
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+
+
 @dataclass(frozen=True)
 class Rule:
     """``reject``: true for rows to drop; ``cost``: what it takes, in characters or elements looked at."""
@@ -37,8 +41,10 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     A window repeats if its hash has a neighbour of equal hash once windows are
     sorted by hash; texts whose windows all differ, the usual case, skip that.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = docs.withColumn("__words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
+    names = [c for c in docs.columns if c not in MEASURES]
+    t = F.coalesce(F.col("__text"), F.lit(""))
+    out = docs.select(F.struct(*names).alias("__row"), F.col(text).alias("__text"))
+    out = out.withColumn("__words", F.regexp_extract_all(t, F.lit(WORD), F.lit(0)))
     n = F.size("__words")
     word = F.col("__words")
     out = out.withColumn("n_words", n.cast("long")).withColumn("word_chars", F.length(F.array_join("__words", "")).cast("long"))
@@ -56,7 +62,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     pos = F.col("__pos")
     covered = F.aggregate(F.transform(pos, lambda p, k: F.least(F.lit(3), F.coalesce(F.get(pos, k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
     out = out.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long"))
-    return out.drop("__words", "__lines", "__h", "__at", "__pos")
+    return out.select("__row.*", *MEASURES)
 
 
 def base_failed() -> Column:
@@ -87,6 +93,15 @@ def ordered(sample: DataFrame, rules: Sequence[Rule]) -> list[Rule]:
     return [rules[i] for i in sorted(range(len(rules)), key=lambda i: (-gain(i), i))]
 
 
+def sampled(docs: DataFrame, files: int = 8, share: float = 0.01) -> DataFrame:
+    """A random ``share`` of the rows of up to ``files`` of the files that ``docs`` was read from, from first to last."""
+    found = sorted(docs.inputFiles())
+    if not found:
+        return docs
+    chosen = sorted({found[i * (len(found) - 1) // max(1, files - 1)] for i in range(files)})
+    return docs.sparkSession.read.schema(docs.schema).parquet(*chosen).sample(share, seed=4)
+
+
 def cascade(docs: DataFrame, rules: Sequence[Rule], sample: DataFrame) -> DataFrame:
     """``docs`` with kept: false from the first rule that rejects the row on."""
     verdict = None

@@ -68,8 +68,7 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    files = sorted(docs.inputFiles())[:1]
-    sample = quality.measures(spark.read.schema(docs.schema).parquet(*files).sample(0.05, seed=4)) if files else quality.measures(docs)
+    sample = quality.measures(quality.sampled(docs))
     out = quality.cascade(quality.measures(docs).withColumn("base_failed", quality.base_failed()), quality.default_rules(), sample)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
