@@ -6,8 +6,8 @@ nothing further. Nodes are dealt out by a quarter of their bits: two that
 differ in at most three bits agree in one of four quarters. Within such a
 bucket the sorted nodes are an implicit binary trie; pairs of trie nodes are
 walked level by level, differing bits add up, and a pair is dropped as soon as
-they exceed the budget. A bucket over ``hot`` nodes is dealt out once more, by
-quarters of its remaining bits. From each partition only a spanning forest of
+they exceed the budget. A bucket over ``hot`` nodes is dealt out again, by
+quarters of its remaining bits, and once more. From each partition only a spanning forest of
 its links leaves, so thousands of near copies make thousands of links, not
 millions; a star algorithm then joins the forests.
 
@@ -34,7 +34,9 @@ from .components import components
 
 SEED, SHINGLE, BUDGET = 42, 3, 3
 #: Shingles whose bits are unpacked at once, and trie-node pairs walked at once.
-CHUNK, FRONTIER = 1 << 15, 1 << 20
+CHUNK, FRONTIER = 1 << 15, 1 << 17
+#: Bits of a quarter of all 64 bits, of the 48 that are left, and of the 36 that are left then; rows of a task aimed at.
+QUARTERS, TASK_ROWS = (16, 12, 9), 1 << 20
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -71,8 +73,17 @@ def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text") ->
     return through_arrow(docs.select(F.col(ident).cast("long").alias("id"), F.col(text).alias("text")), _fingerprints, "id long, fp long")
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+class Zeros:
+    """How many of the first i rows have a zero at a level of the trie, in a quarter of a byte a row."""
+
+    def __init__(self, bits: np.ndarray, level: int):
+        zero = np.packbits((bits >> np.uint64(63 - level)) & np.uint64(1) == 0, bitorder="little")
+        self.words = np.concatenate((zero, np.zeros(16 - len(zero) % 8, np.uint8))).view(np.uint64)
+        self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)))
+
+    def __call__(self, i: np.ndarray) -> np.ndarray:
+        word, mask = self.words[i >> 6], (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[i >> 6] + np.bitwise_count(word & mask)
 
 
 class Forest:
@@ -109,7 +120,7 @@ def trie_links(keys: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> np.n
     lo, hi = cut[:-1], cut[1:]
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
-    zeros: dict[int, np.ndarray] = {}
+    zeros: dict[int, Zeros] = {}
     # A stack of frontiers: level, both ranges, differing bits so far. Depth first, so memory stays bounded.
     step = max(1, FRONTIER // 4)
     todo = [(0, lo[i : i + step], hi[i : i + step], lo[i : i + step], hi[i : i + step], np.zeros(len(lo[i : i + step]), np.int8)) for i in range(0, len(lo), step)]
@@ -118,7 +129,7 @@ def trie_links(keys: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> np.n
         single = (a1 - a0 == 1) & (b1 - b0 == 1)
         if single.any():  # two leaves: what is left of their bits is compared at once
             i, j = a0[single], b0[single]
-            near = _popcount(bits[i] ^ bits[j]) <= budget
+            near = np.bitwise_count(bits[i] ^ bits[j]) <= budget
             near &= i != j
             forest.link(i[near], j[near])
             a0, a1, b0, b1, err = (x[~single] for x in (a0, a1, b0, b1, err))
@@ -131,9 +142,9 @@ def trie_links(keys: np.ndarray, bits: np.ndarray, budget: int = BUDGET) -> np.n
             todo += [(level, a0[:half], a1[:half], b0[:half], b1[:half], err[:half]), (level, a0[half:], a1[half:], b0[half:], b1[half:], err[half:])]
             continue
         if level not in zeros:
-            zeros[level] = np.concatenate(([0], np.cumsum((bits >> np.uint64(63 - level)) & np.uint64(1) == 0))).astype(np.int64)
+            zeros[level] = Zeros(bits, level)
         z = zeros[level]
-        am, bm = a0 + z[a1] - z[a0], b0 + z[b1] - z[b0]
+        am, bm = a0 + z(a1) - z(a0), b0 + z(b1) - z(b0)
         own = (a0 == b0) & (a1 == b1)
         pairs = [(a0, am, b0, bm, err, None), (am, a1, bm, b1, err, None), (a0, am, bm, b1, err + 1, None), (am, a1, b0, bm, err + 1, ~own)]
         found = []
@@ -154,6 +165,7 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     key, fp = (np.concatenate(x) for x in zip(*parts, strict=True))
     bits = fp.view(np.uint64)
     order = np.lexsort((bits, key))
+    order = order[np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(fp[order]) != 0)))]
     key, bits, fp = key[order], bits[order], fp[order]
     root = trie_links(key, bits)
     linked = np.flatnonzero(root != np.arange(len(root)))
@@ -164,25 +176,34 @@ def buckets(nodes: DataFrame, hot: int) -> DataFrame:
     """key, fp: each node once for each of its four 16-bit quarters.
 
     In buckets of over ``hot`` nodes, each node goes instead to four buckets by
-    the 12-bit quarters of its other 48 bits.
+    quarters of the bits that its bucket doesn't share. A key is a hash, and
+    two buckets that it should join lose nothing by it.
     """
-    part = lambda x, at, width: F.shiftrightunsigned(x, at).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
-    quarters = F.array(*[part(F.col("fp"), 16 * q, 16) * 4 + q for q in range(4)])
-    dealt = nodes.select("fp", F.explode(quarters).alias("key"))
-    full = dealt.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("full"))
-    dealt = dealt.join(F.broadcast(full), "key", "left")  # at most 4 * 65,536 keys
-    turned = F.expr("shiftrightunsigned(fp, cast(key % 4 as int) * 16) | shiftleft(fp, 64 - cast(key % 4 as int) * 16)")
-    finer = F.array(*[part(F.col("turned"), 16 + 12 * j, 12) * 4 + j for j in range(4)])
-    again = dealt.filter("full").withColumn("turned", turned).select(F.explode(finer).alias("sub"), "key", "fp")
-    again = again.select((F.lit(1 << 18) + F.col("key") * (1 << 14) + F.col("sub")).alias("key"), "fp")
-    return dealt.filter("full is null").select("key", "fp").unionByName(again)
+    out, dealt = None, nodes.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("left"))
+    for width in QUARTERS:
+        low = lambda at: F.col("left").bitwiseAND(F.lit((1 << at) - 1).cast("long"))
+        high = lambda at: F.shiftrightunsigned("left", at) if at < 64 else F.lit(0).cast("long")
+        part = lambda q, w=width: F.shiftrightunsigned("left", w * q).bitwiseAND(F.lit((1 << w) - 1).cast("long"))
+        quarter = lambda q, w=width: F.struct(F.xxhash64("key", F.lit(q), part(q)).alias("key"), F.shiftleft(high(w * (q + 1)), w * q).bitwiseOR(low(w * q)).alias("left"))
+        dealt = dealt.select("fp", F.explode(F.array(*[quarter(q) for q in range(4)])).alias("x")).select("fp", "x.*")
+        done, full = dealt, 0
+        if width != QUARTERS[-1]:
+            keys = stored(dealt.groupBy("key").count().filter(F.col("count") > hot).select("key", F.lit(True).alias("full")), "simhash-full")
+            full = keys.count()
+            if full:
+                marked = dealt.join(small(keys, full), "key", "left")
+                done, dealt = marked.filter("full is null"), marked.filter("full")
+        out = done.select("key", "fp") if out is None else out.union(done.select("key", "fp"))
+        if not full:
+            return out
+    return out
 
 
 def _joined(nodes: DataFrame, hot: int) -> DataFrame:
     """node, component (both fingerprints) for each of ``nodes`` (fp) that links join to a smaller one."""
-    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * nodes.count() >> 20)
-    dealt = buckets(nodes, hot).repartition(tasks, "key")
-    return components(stored(through_arrow(dealt, _bucket_links, "u long, v long"), "simhash-links"))
+    dealt = buckets(nodes, hot)
+    tasks = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), dealt.count() // TASK_ROWS)
+    return components(stored(through_arrow(dealt.repartition(tasks, "key"), _bucket_links, "u long, v long"), "simhash-links"))
 
 
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text", hot: int = 50_000) -> DataFrame:
