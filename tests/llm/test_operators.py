@@ -149,9 +149,9 @@ def test_identify(spark, docs, nothing):
     for i, k in enumerate(p.names):
         ranks = {unpack(int(g)): r for r, g in enumerate(profiles[k])}
         assert p.distances(langid.ranked(*langid.ngrams("that was the house")))[i] == sum(min(300, abs(ranks[g] - r)) if g in ranks else 300 for r, g in enumerate(own))
-    got = {(r.text): (r.lang_pred, r.score) for r in langid.identify(docs.drop("lang_pred", "score"), profiles).collect()}
+    got = {(r.text): (r.lang_pred, r.score) for r in langid.identify(docs, profiles).collect()}
     assert got[None] == ("und", 0.0) and got["\n\n"] == ("und", 0.0) and all(0 <= s <= 1 for _, s in got.values())
-    assert langid.identify(nothing.drop("lang_pred", "score"), profiles).count() == 0
+    assert langid.identify(nothing, profiles).count() == 0
     assert langid.learn(nothing) == {} and langid.Predictor({}).predict("text") == ("und", 0.0)
 
 
@@ -214,6 +214,33 @@ def test_trie_walk_finds_every_pair():
     assert root.tolist() == [want[i] for i in range(len(bits))]
 
 
+def test_trie_walk_in_little_memory():
+    """Half a million fingerprints, half of them near copies."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 1 << 63, 250_000, np.uint64)
+    bits = np.unique(np.concatenate((one, one ^ (np.uint64(1) << rng.integers(0, 64, len(one)).astype(np.uint64)))))
+    keys = (bits >> np.uint64(58)).astype(np.int64)
+    tracemalloc.start()
+    root = simhash.trie_links(keys, bits)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60 << 20 and (root != np.arange(len(root))).sum() >= 225_000
+
+
+def test_buckets_of_one_hot_key_keep_every_pair(spark):
+    """All nodes share 28 bits, so two levels are too full."""
+    rng = random.Random(6)
+    fps = sorted({(0xABCDE << 44) | (0x5 << 20) | rng.getrandbits(9) | rng.getrandbits(9) << 30 for _ in range(300)})
+    got = defaultdict(set)
+    for r in simhash.buckets(spark.createDataFrame([(simhash._signed(x),) for x in fps], "fp long"), 20).collect():
+        got[r.key].add(r.fp & (2**64 - 1))
+    together = {(a, b) for v in got.values() for a in v for b in v if a < b}
+    assert {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 3} <= together
+    assert len(got) > 100
+
+
 @pytest.mark.parametrize("hot", [2, 50_000])
 def test_links_and_components(spark, monkeypatch, hot):
     fps = planted()
@@ -246,8 +273,10 @@ def test_one_row_of_each_group_however_ids_repeat(spark):
     assert got == Counter({(None, 7): 1, (7, 7): 1, (None, None): 2, (5, 5): 3, (8, 5): 1})
 
 
-def test_every_near_copy_goes(spark):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_every_near_copy_goes(spark, monkeypatch, block):
     """Against all pairs of 5-word shingle sets; SimHash's three bits missed most of these copies."""
+    monkeypatch.setattr(similar, "BLOCK", block)
     rng = random.Random(8)
     words = [f"w{i}" for i in range(400)]
     texts = [rng.choices(words, k=rng.randint(8, 150)) for _ in range(60)]
@@ -291,7 +320,7 @@ def brute_measures(t):
 
 
 def test_measures_and_cascade(docs, nothing):
-    d = docs.drop("n_words", "kept")
+    d = docs
     m = quality.measures(d)
     got = Counter((r.text, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in m.collect())
     assert got == Counter((r[1], *brute_measures(r[1])) for r in rows())
@@ -303,7 +332,7 @@ def test_measures_and_cascade(docs, nothing):
         assert kept == want
     reject = m.select(*[F.coalesce(r.reject, F.lit(False)).alias(r.name) for r in rules], "doc_id")
     assert Counter((r.doc_id, not any(r[x.name] for x in rules)) for r in reject.collect()) == want
-    assert quality.cascade(quality.measures(nothing.drop("n_words", "kept")), rules, m.limit(0)).count() == 0
+    assert quality.cascade(quality.measures(nothing), rules, m.limit(0)).count() == 0
 
 
 def test_order_by_rejection_per_cost(spark):
@@ -343,7 +372,7 @@ def test_base_spans(spark, docs, nothing):
     df = spark.createDataFrame([(t,) for t in made], "text string").unionByName(docs.select("text"))
     for text, spans in base_spans(df):
         assert spans == brute_spans(text), text
-    assert pii.find(nothing.drop("spans")).count() == 0 and pii.redact(nothing).columns == nothing.columns
+    assert pii.find(nothing).count() == 0 and pii.redact(nothing).columns == nothing.columns
 
 
 def test_many_spans_have_right_offsets(spark):
@@ -370,8 +399,28 @@ def test_validators_and_context(spark):
 def test_redaction(spark, docs):
     for r in pii.redact(docs.select("doc_id", "text")).collect():
         assert (r.text is None) or not [s for s in brute_spans(r.text)], r.text
-    df = spark.createDataFrame([(t,) for t in ("to a@b.co now, +1 555 555 0100", "clean", None, "")], "text string").coalesce(1)
-    assert [r.text for r in pii.redact(df).collect()] == ["to [EMAIL] now, [PHONE]", "clean", None, ""]
+    df = spark.createDataFrame([(t,) for t in ("to a@b.co now, +1 555 555 0100", "clean", None, "", "ssn 123-45-6789 234-56-7890 x", "social security: 123-45-6789, 321-54-9876")], "text string").coalesce(1)
+    assert [r.text for r in pii.redact(df).collect()] == ["to [EMAIL] now, [PHONE]", "clean", None, "", "ssn [SSN] [SSN] x", "social security: [SSN], [SSN]"]
+
+
+def test_redaction_cuts_what_is_found(spark, docs):
+    """Against the spans of ``find``, merged where they overlap; further columns pass through whatever their names."""
+    rng = random.Random(9)
+    bits = ["ssn ", "123-45-6789", ", ", "4111 1111 1111 1111", "378282246310005", "card ", "é", "a@b.co", " 1.2.3.4", "+1 555 555 0100", "GB82WEST12345698765432", " ", "-", "word"]
+    made = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(800)] + [" ".join(rng.choice(bits) for _ in range(4000))]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(made)], "doc_id long, text string, __m string, __t string, spans string")
+    found = {r.doc_id: [(s.start, s.end, s.kind) for s in r.spans] for r in pii.find(df).select("doc_id", "spans").collect()}
+    order = [k.name for k in pii.KINDS]
+    got = pii.redact(df)
+    assert got.columns == df.columns
+    for r in got.collect():
+        out, at, end, t = [], 0, 0, made[r.doc_id]
+        for a, b, k in sorted(found[r.doc_id], key=lambda s: (s[0], order.index(s[2]))):
+            if a >= end:
+                out += [t[max(at, end) : a], f"[{k.upper()}]"]
+                at = a
+            end = max(end, b)
+        assert r.text == "".join(out) + t[end:] and (r["__m"], r["__t"], r.spans) == ("x", "y", "z")
 
 
 # --- classifier -------------------------------------------------------------------
@@ -631,3 +680,75 @@ def test_pipeline(spark, tmp_path):
     assert "[EMAIL]" in seen["pii"].filter("doc_id = 204").first().text
     assert seen["packing"].agg(F.sum("length")).first()[0] > 0 and ids["packing"] <= ids["mix_sources"]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+
+
+# --- the registered queries -----------------------------------------------------------
+
+CONTRACT = {
+    "op1_token_files": "doc_id start n_tokens ids_crc32",
+    "op2_language_id": "doc_id held_out lang_pred score",
+    "op3_simhash_dedup": "doc_id fingerprint component_id",
+    "op4_quality_rules": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+    "op5_pii": "doc_id n_email n_ip n_card n_phone base_sha256 spans",
+    "op6_quality_classifier": "doc_id held_out score predicted",
+    "op7_chat_format": "conv_id n_turns turns_sha256 loss_chars loss_sha256 formatted_chars",
+    "op8_packing": "doc_id start length ids_crc32 doc_tokens sequence_id offset",
+    "op9_media_columns": "doc_id n_bytes payload_bytes payload_sha256 tail_crc32 media_bytes media_sha256 feature",
+    "op10_mix_sources": "doc_id size source_size target taken",
+}
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    """Folders of awkward tables and of empty ones: nulls, clashing names, repeated and null ids, ties, a text of some megabytes."""
+    at = {}
+    for name in ("awkward", "empty"):
+        path = tmp_path_factory.mktemp(name)
+        keep = F.lit(name == "awkward")
+        made = rows() + [(90, "long text of words " * 150_000, "en", "hot", 0)]
+        more = [c for c in CLASH if c not in ("ids", "id")]
+        spark.createDataFrame(made, SCHEMA).repartition(3).withColumns({c: F.lit("clash") for c in more}).filter(keep).write.parquet(str(path / "documents.parquet"))
+        spark.createDataFrame([(i, i % 2, 0, "clash") for i in range(19)] + [(None, 1, 0, "x"), (5, None, 0, "x")], "doc_id long, quality int, toxic int, score string").filter(keep).write.parquet(str(path / "labels.parquet"))
+        said = [(1, 0, "user", "hi", "x"), (1, 1, "assistant", None, "x"), (2, 0, None, "[INST]", "x"), (None, 0, "assistant", "a", "x"), (1, 2, "assistant", LONG, "x")]
+        spark.createDataFrame(said, "conv_id long, turn long, role string, text string, ids string").filter(keep).write.parquet(str(path / "conversations.parquet"))
+        at[name] = str(path), made if name == "awkward" else []
+    return at
+
+
+@pytest.mark.parametrize("which", ["awkward", "empty"])
+@pytest.mark.parametrize("name", CONTRACT)
+def test_registered_query(spark, tables, name, which):
+    from tidegauge.llm.queries import QUERIES
+
+    path, made = tables[which]
+    out = QUERIES[name](spark, path)
+    assert out.columns == CONTRACT[name].split()
+    got = out.collect()
+    if name == "op7_chat_format":
+        assert len(got) == (4 if made else 1) and [r.n_turns for r in got if r.conv_id == -1] == [2]
+        return
+    assert Counter(r.doc_id for r in got if name != "op8_packing" or r.start == 0) == Counter(m[0] for m in made)
+    crc = lambda i: zlib.crc32(str(i if i is not None else "").encode())
+    if name in ("op2_language_id", "op6_quality_classifier"):
+        assert all(r.held_out == (crc(r.doc_id) % 3 == 1) and 0 <= r.score <= 1 for r in got)
+    if name == "op1_token_files":
+        tok = encoding.encoder(tokenizer("byte_bpe_50k.json"), "byte", 2).tok
+        want = Counter((m[0], len(x), zlib.crc32(say(x))) for m in made for x in [tok.encode(m[1] or "", add_special_tokens=False).ids + [2]])
+        assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
+        upto = 0
+        for r in sorted(got, key=lambda r: r.start):
+            assert r.start == upto
+            upto += r.n_tokens
+    if name == "op3_simhash_dedup":
+        assert Counter((r.doc_id, r.fingerprint) for r in got) == Counter((m[0], f"{brute_fingerprint(m[1]):016x}") for m in made)
+    if name == "op8_packing":
+        assert {r.doc_id: r.doc_tokens for r in got if r.doc_id == 90} in ({}, {90: 600_001})
+        used = defaultdict(list)
+        for r in got:
+            used[r.sequence_id].append((r.offset, r.length))
+        for v in used.values():
+            v.sort()
+            assert [o for o, _ in v] == list(np.cumsum([0] + [n for _, n in v[:-1]])) and sum(n for _, n in v) <= 4096
+    if name == "op9_media_columns":
+        raw = lambda t: (t or "").encode() + bytes(-len((t or "").encode()) % 64 if t else 64)
+        assert Counter((r.doc_id, r.payload_sha256, r.tail_crc32) for r in got) == Counter((m[0], hashlib.sha256(raw(m[1])).hexdigest(), zlib.crc32(raw(m[1])[-64:])) for m in made)
