@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import EMPTY, replay
+from conftest import EMPTY, instant, replay
 from pyspark.sql import functions as F
 
 from tidegauge.operators import lookback
@@ -140,3 +140,21 @@ def test_range_keeps_its_lookback(spark):
     assert [r.i for r in got] == [3, 4, 4, 4, 4]
     got = evaluate(ds, {"x": "rate(A x)"}, instant(2), instant(3)).collect()
     assert len(got) == 2
+
+
+def test_gaps_make_no_more_rows_than_there_are(spark):
+    """A long series with few gaps: rows between scan and result stay near the input."""
+    n = 600
+    ds = replay(spark, [("A", {}, "x", [None if i % 200 == 7 else i for i in range(n)]), ("B", {}, "x", list(range(n)))])
+    got = lookback.gaps(ds, ds.scrapes.select(F.col("ts").alias("target")))
+    assert sorted((r.target, r.group_key) for r in got.collect()) == [(instant(i), "A") for i in (7, 207, 407)]
+    plan = got._jdf.queryExecution().executedPlan()
+    most, todo = 0, [plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while todo:
+        node = todo.pop()
+        node = node.plan() if "QueryStage" in node.nodeName() else node
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        kids = node.children()
+        todo += [kids.apply(i) for i in range(kids.size())]
+    assert 0 < most <= 3 * 2 * n

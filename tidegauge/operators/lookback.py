@@ -60,30 +60,37 @@ def interpolate(a: Value, b: Value, share: Column) -> Value:
     return value(**of)
 
 
-def gaps(ds: Dataset, targets: DataFrame, width_ms: int, reach_ms: int | None = None) -> DataFrame:
+def gaps(ds: Dataset, targets: DataFrame, reach_ms: int | None = None) -> DataFrame:
     """target, group_key, tags_key, older, newer: groups wholly absent at a target, between two scrapes that hold them.
 
     ``reach_ms`` limits how far either may be. A group's scrapes and the next
-    ones are stretches; a target strictly inside one is a gap. They meet in
-    slots of ``width_ms``.
+    ones are stretches. Every instant knows how many targets there are up to
+    it, so a stretch knows the places of the targets strictly inside it, and
+    only those with any make rows: as many as there are gaps. The column of
+    instants and targets is ordered by one task, one long each.
     """
-    held = ds.points.select("ts", *SERIES).distinct()
-    stretch = held.withColumn("newer", F.lead("ts").over(W.partitionBy(*SERIES).orderBy("ts"))).filter("newer IS NOT NULL").withColumnRenamed("ts", "older")
+    wanted = targets.select(F.col("target").alias("ts"), F.lit(1).alias("n")).distinct()
+    instants = wanted.unionByName(ds.scrapes.select("ts", F.lit(0).alias("n"))).groupBy("ts").agg(F.max("n").alias("n"))
+    upto = instants.withColumn("upto", F.sum("n").over(W.orderBy("ts").rowsBetween(W.unboundedPreceding, 0)))
+    held = ds.points.select("ts", *SERIES).distinct().join(upto.select("ts", "upto", (F.col("upto") - F.col("n")).alias("below")), "ts")
+    w = W.partitionBy(*SERIES).orderBy("ts")
+    stretch = held.select(*SERIES, F.col("ts").alias("older"), F.lead("ts").over(w).alias("newer"), (F.col("upto") + 1).alias("first"), F.lead("below").over(w).alias("last"))
+    stretch = stretch.filter("first <= last")
     ms = lambda c: F.unix_millis(c)
-    slot = lambda c: F.floor(c / max(width_ms, 1))
-    dealt = stretch.withColumn("slot", F.explode(F.sequence(slot(ms("older")), slot(ms("newer")))))
-    at = targets.select("target").distinct().withColumn("slot", slot(ms("target")))
-    out = dealt.join(at, "slot").filter("older < target AND target < newer").drop("slot")
+    if reach_ms is not None:
+        stretch = stretch.filter(ms("newer") - ms("older") <= 2 * reach_ms)
+    inside = stretch.select(*SERIES, "older", "newer", F.explode(F.sequence("first", "last")).alias("place"))
+    out = inside.join(upto.filter("n = 1").select(F.col("ts").alias("target"), F.col("upto").alias("place")), "place").drop("place")
     if reach_ms is not None:
         out = out.filter((ms("target") - ms("older") <= reach_ms) & (ms("newer") - ms("target") <= reach_ms))
     return out
 
 
-def filled(ds: Dataset, targets: DataFrame, width_ms: int, reach_ms: int | None = None) -> DataFrame:
+def filled(ds: Dataset, targets: DataFrame, reach_ms: int | None = None) -> DataFrame:
     """Points at each target: measured ones, and for groups wholly absent, interpolated ones of the metrics both neighbours have."""
     wanted = targets.select("target").distinct()
     exact = ds.points.join(wanted.withColumnRenamed("target", "ts"), "ts")
-    between = gaps(ds, targets, width_ms, reach_ms)
+    between = gaps(ds, targets, reach_ms)
     values = ["kind", *COLUMN.values()]
     series = [*SERIES, "metric_key"]
     older = ds.points.withColumnRenamed("ts", "older").join(between, [*SERIES, "older"])
@@ -101,14 +108,14 @@ def filled(ds: Dataset, targets: DataFrame, width_ms: int, reach_ms: int | None
 def shifted_by(ds: Dataset, ms: int, reach_ms: int | None = None) -> tuple[Dataset, DataFrame]:
     """The dataset as it was ``ms`` milliseconds ago, gaps of groups interpolated; and the moves."""
     moves = before(ds.scrapes, ms)
-    there = filled(ds, moves.select(F.col("past").alias("target")), ms, reach_ms)
+    there = filled(ds, moves.select(F.col("past").alias("target")), reach_ms)
     past = Dataset(there, ds.scrapes, ds.kinds | {"dbl", "empty"})
     return shifted(past, moves), moves
 
 
-def interpolated(ds: Dataset, reach_ms: int, width_ms: int | None = None) -> Dataset:
+def interpolated(ds: Dataset, reach_ms: int) -> Dataset:
     """The dataset with groups that are wholly absent from a scrape filled in from up to ``reach_ms`` on either side."""
-    points = filled(ds, ds.scrapes.select(F.col("ts").alias("target")), width_ms or reach_ms, reach_ms)
+    points = filled(ds, ds.scrapes.select(F.col("ts").alias("target")), reach_ms)
     return Dataset(points, ds.scrapes, ds.kinds | {"dbl", "empty"})
 
 
@@ -123,14 +130,16 @@ def stepped(scrapes: DataFrame, step_ms: int) -> DataFrame:
         return scrapes.select("ts").distinct()
 
     def stride(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None
+        due = None
         for b in batches:
-            keep = []
-            for ms in b["ms"]:
-                take = last is None or ms >= last + step_ms
-                last = ms if take else last
-                keep.append(take)
-            yield b[keep]
-
-    instants = scrapes.select(F.unix_millis("ts").alias("ms")).distinct().orderBy("ms").coalesce(1)
+            ms, at, keep = b["ms"].to_numpy(), 0, []
+            while True:
+                at = at if due is None else max(at, int(ms.searchsorted(due)))
+                if at >= len(ms):
+                    break
+                keep.append(at)
+                due = ms[at] + step_ms
+            yield b.iloc[keep]
+
+    instants = scrapes.select(F.unix_millis("ts").alias("ms")).distinct().repartition(1).sortWithinPartitions("ms")
     return instants.mapInPandas(stride, "ms long").select(F.timestamp_millis("ms").alias("ts"))
