@@ -5,11 +5,15 @@
 and by statistics. Of groups stored twice for an instant the first is kept;
 that takes a shuffle, so whether any append overlapped what was there is
 recorded, and a history without overlaps is read as it is.
+
+``compact`` writes the new tables beside the old ones, then a mark that both
+are whole, then swaps them; who opens the history later completes a swap that
+was broken off.
 """
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -42,18 +46,39 @@ class History:
 
     @property
     def exists(self) -> bool:
+        self._swap()
         fs, _ = self._fs(self.path)
         return fs.exists(self._path(self.points_path))
 
+    def _dates(self, path: str) -> list[tuple[str, int]]:
+        """Each date stored at ``path`` and its bytes, oldest first; only the folder is listed."""
+        fs, at = self._fs(path)
+        folders = [s.getPath() for s in fs.listStatus(at) if s.isDirectory()] if fs.exists(at) else []
+        return sorted((p.getName().removeprefix("date="), fs.getContentSummary(p).getLength()) for p in folders if p.getName().startswith("date="))
+
+    def newest(self, count: int = 1, before: datetime | None = None) -> list[datetime]:
+        """Up to ``count`` of the last instants (before ``before``), last first, from as few of the newest dates as hold them."""
+        self._swap()
+        dates = [d for d, _ in self._dates(self.scrapes_path) if before is None or d <= str((before + timedelta(days=1)).date())]  # the session may be in another zone
+        held = self.spark.read.schema("ts timestamp, date date").parquet(self.scrapes_path) if dates else None
+        found, many = [], 1
+        while dates and len(found) < count and many < 2 * len(dates):
+            rows = held.filter(F.col("date") >= F.lit(dates[-min(many, len(dates))]).cast("date"))
+            rows = rows.filter(F.col("ts") < F.lit(before)) if before is not None else rows
+            found = [r[0] for r in rows.select("ts").distinct().orderBy(F.desc("ts")).limit(count).collect()]
+            many *= 2
+        return found
+
     def append(self, ds: Dataset, batch: int = 0) -> None:
         """Adds all scrapes of ``ds``; ``batch`` orders what is appended later after it."""
         if self.exists:
-            newest = self.spark.read.parquet(self.scrapes_path).agg(F.max("ts")).first()[0]
+            newest = self.newest()
             oldest = ds.scrapes.agg(F.min("ts")).first()[0]
-            if newest is not None and oldest is not None and oldest <= newest:
+            if newest and oldest is not None and oldest <= newest[0]:
                 self._mark(True)
         held = ds.points.withColumn("batch", F.lit(batch).cast("bigint")).withColumn("date", F.to_date("ts"))
-        self._write(held.repartition("date").sortWithinPartitions("ts", "group_key", "metric_key"), self.points_path)
+        order = ["date", "ts", "group_key", "tags_key", "metric_key"]  # ranges, as many as the size asks for, so a date is many tasks
+        self._write(held.repartitionByRange(*order).sortWithinPartitions(*order), self.points_path)
         self._write(ds.scrapes.select("ts", F.to_date("ts").alias("date")).coalesce(1), self.scrapes_path)
 
     @property
@@ -91,6 +116,8 @@ class History:
     def scan(self, begin: datetime | None = None, end: datetime | None = None) -> Dataset:
         """The scrapes in [begin, end], both inclusive; either may be open."""
 
+        self._swap()
+
         def ranged(df: DataFrame) -> DataFrame:
             if begin is not None:
                 df = df.filter((F.col("date") >= F.to_date(F.lit(begin))) & (F.col("ts") >= F.lit(begin)))
@@ -116,36 +143,54 @@ class History:
 
     def catalog(self) -> DataFrame:
         """file, begin, end, points, bytes of each file, by end."""
+        self._swap()
         files = self.spark.read.schema(SCHEMA).parquet(self.points_path)
         meta = files.select("ts", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
         return meta.groupBy("file", "bytes").agg(F.min("ts").alias("begin"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("points")).select("file", "begin", "end", "points", "bytes").orderBy("end", "file")
 
-    def compact(self, files_a_date: int = 1) -> None:
-        """Rewrites the history with points of a series together within ranges of time; the old one is replaced at the end."""
+    def compact(self) -> None:
+        """Rewrites the history with points of a series together within a date, in ranges as many as the size asks for."""
+        self._swap()
         held = self.spark.read.schema(SCHEMA).parquet(self.points_path)
         held = first_wins(held) if self.overlaps else held
+        order = ["date", "group_key", "metric_key", "tags_key", "ts"]
         scrapes = self.spark.read.schema("ts timestamp, date date").parquet(self.scrapes_path).distinct()
-        fs, path = self._fs(self.path)
-        for name, df in (("points", held.repartition("date", F.pmod(F.xxhash64("group_key", "tags_key"), F.lit(files_a_date))).sortWithinPartitions("date", "group_key", "metric_key", "tags_key", "ts")), ("scrapes", scrapes.coalesce(1))):
-            self._write(df, f"{self.path}/.{name}.new", "overwrite")
-            new, old = (self._path(f"{self.path}/{x}") for x in (f".{name}.new", name))
+        self._write(held.repartitionByRange(*order).sortWithinPartitions(*order), f"{self.path}/.points.new", "overwrite")
+        self._write(scrapes.coalesce(1), f"{self.path}/.scrapes.new", "overwrite")
+        fs, at = self._fs(f"{self.path}/.swap")
+        fs.create(at, True).close()
+        self._swap()
+
+    def _swap(self) -> None:
+        """Puts compacted tables in place if a mark says that they are whole. May be repeated from any point on."""
+        fs, mark = self._fs(f"{self.path}/.swap")
+        if not fs.exists(mark):
+            return
+        for name in ("points", "scrapes"):
+            new, old, at = (self._path(f"{self.path}/{x}") for x in (f".{name}.new", f".{name}.old", name))
+            if fs.exists(new):
+                if fs.exists(at):
+                    fs.delete(old, True)
+                    fs.rename(at, old)
+                if not fs.rename(new, at):
+                    raise OSError(f"could not replace {at}")
             fs.delete(old, True)
-            if not fs.rename(new, old):
-                raise OSError(f"could not replace {old}")
         self._mark(False)
+        fs.delete(mark, False)
 
     def retain(self, max_bytes: int) -> list[str]:
         """Drops the oldest dates until the points take at most ``max_bytes``; returns the dates dropped. The newest date stays."""
+        self._swap()
         fs, _ = self._fs(self.path)
-        dates = sorted((s.getPath().getName(), fs.getContentSummary(s.getPath()).getLength()) for s in fs.listStatus(self._path(self.points_path)) if s.isDirectory() and s.getPath().getName().startswith("date="))
+        dates = self._dates(self.points_path)
         total, dropped = sum(n for _, n in dates), []
         for name, n in dates[:-1]:
             if total <= max_bytes:
                 break
             for at in (self.points_path, self.scrapes_path):
-                fs.delete(self._path(f"{at}/{name}"), True)
+                fs.delete(self._path(f"{at}/date={name}"), True)
             total -= n
-            dropped.append(name.removeprefix("date="))
+            dropped.append(name)
         return dropped
 
     def _path(self, path: str):

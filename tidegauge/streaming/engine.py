@@ -62,9 +62,8 @@ def step(new: Dataset, history: History | None, rules: tuple[n.Node, ...], warm:
         first = instants.agg(F.min("ts")).first()[0]
         if first is None:
             return Outcome(new)
-        old = history.scan(None, first - timedelta(milliseconds=1))
-        early = old.scrapes.orderBy(F.desc("ts")).limit(count).agg(F.min("ts")).first()[0]
-        begin = min(x for x in (first - timedelta(milliseconds=ms), early or first))
+        early = history.newest(count, first)
+        begin = min([first - timedelta(milliseconds=ms), *early])
         old = history.scan(begin, first - timedelta(milliseconds=1))
         earliest = old.scrapes.agg(F.min("ts")).first()[0]
         ds = Dataset(old.points.unionByName(new.points), old.scrapes.unionByName(new.scrapes), new.kinds)
