@@ -190,6 +190,69 @@ def test_history_round_trip(spark, tmp_path, compression):
     assert h.retain(1) == ["2024-01-01"] and h.scan().scrapes.count() == 2
 
 
+@pytest.mark.parametrize("calls", range(6))
+def test_compaction_broken_off(spark, tmp_path, monkeypatch, calls):
+    """Wherever a swap ends, the next reader finds every point."""
+    ds, h = series(spark), History(spark, str(tmp_path / "h"))
+    h.append(ds)
+    done, real = [], h._fs
+
+    class Broken:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            def call(*args):
+                if name in ("delete", "rename"):
+                    if len(done) == calls:
+                        raise OSError("lost")
+                    done.append(name)
+                return getattr(self.fs, name)(*args)
+
+            return call
+
+    monkeypatch.setattr(h, "_fs", lambda path: (Broken(real(path)[0]), real(path)[1]))
+    try:
+        h.compact()
+    except OSError:
+        assert len(done) == calls
+    again = History(spark, h.path)
+    assert again.scan().points.count() == 12 and again.scan().scrapes.count() == 6 and not again.overlaps
+    assert not [p.name for p in (tmp_path / "h").iterdir() if p.name.startswith(".") and not p.name.endswith(".crc")]
+
+
+def test_newest_reads_back_in_time(spark, tmp_path):
+    h = History(spark, str(tmp_path / "h"))
+    assert h.newest() == []
+    h.append(series(spark, 10))
+    assert h.newest() == [instant(9, 21600)] and h.newest(4, instant(6, 21600)) == [instant(i, 21600) for i in (5, 4, 3, 2)]
+    assert len(h.newest(99)) == 10 and h.newest(2, instant(0)) == []
+
+
+def test_cached_resolver():
+    from tidegauge.sources.resolver import Cached, numbers
+
+    assert numbers(3) == ((0,), (1,), (2,)) and numbers(5, 3) == ((3,), (4,)) and numbers(0) == ()
+    now, answers = [0.0], [((1,),), ((2,),), OSError("down"), OSError("down"), ((3,),)]
+
+    def resolve():
+        x = answers.pop(0)
+        if isinstance(x, Exception):
+            raise x
+        return x
+
+    c = Cached(resolve, 10, 30, 5, lambda: now[0])
+    seen = []
+    for t in (0, 9, 10, 19, 20, 24, 39, 40, 41, 46):
+        now[0] = float(t)
+        try:
+            seen.append(c())
+        except OSError:
+            seen.append(None)
+    one, two, three = ((1,),), ((2,),), ((3,),)
+    assert seen == [one, one, two, two, two, two, two, None, None, three]
+
+
 def test_last_collected_wins(spark):
     ds = series(spark, 1)
     twice = ds.points.withColumn("batch", F.lit(1)).unionByName(ds.points.withColumn("batch", F.lit(2)).withColumn("i", F.lit(7).cast("bigint")))

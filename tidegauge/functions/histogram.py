@@ -59,6 +59,11 @@ def subtract(x: Column, y: Column) -> Column:
     return one_sign(add(x, scale(y, F.lit(-1.0))))
 
 
+def compare(x: Column, y: Column) -> Column:
+    """-1, 0 or 1: by the first range that differs, its floor, then ceil, then events; a histogram that ends first is less."""
+    return F.when(x < y, -1).when(x > y, 1).when(x == y, 0)
+
+
 def events(h: Column) -> Column:
     return _sum(F.transform(h, lambda r: r["events"]))
 

@@ -137,7 +137,7 @@ def _equal(x: Value, y: Value, negate: bool) -> Value:
     if "string" in x.kinds & y.kinds:
         found.append(x.get("string") == y.get("string"))
     if "hist" in x.kinds & y.kinds:
-        found.append(F.to_json(x.get("hist")) == F.to_json(y.get("hist")))
+        found.append(x.get("hist") == y.get("hist"))
     if not found:
         return empty()
     test = F.coalesce(*found)

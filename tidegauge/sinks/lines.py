@@ -40,7 +40,7 @@ def wavefront_name(x: Column) -> Column:
     return F.regexp_replace(F.lower(x), "[^-a-zA-Z_0-9.]", "_")
 
 
-def wavefront(points: DataFrame, source: str = DEFAULT_SOURCE, fallback_tags: tuple[str, ...] = ("moncluster",)) -> DataFrame:
+def wavefront(points: DataFrame, source: str = DEFAULT_SOURCE, fallback_tags: tuple[str, ...] = ()) -> DataFrame:
     """line: ``name value seconds source=… tag="value"``, tags in order; finite numbers only.
 
     The source is the tag of that name, else cluster, else one of

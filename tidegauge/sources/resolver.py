@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,6 +45,41 @@ def group_of(path: tuple[str, ...] | None, bound: dict[object, object]) -> tuple
     return (*(path or ()), *places), {k: tag_literal(v) for k, v in bound.items() if isinstance(k, str)}
 
 
+def numbers(end: int, begin: int = 0) -> tuple[tuple[int], ...]:
+    """Tuples of one number each, from ``begin`` to before ``end``."""
+    return tuple((i,) for i in range(begin, end))
+
+
+class Cached:
+    """The tuples of a resolver that is slow or fails.
+
+    They are reused for ``min_age`` seconds. From then on each call tries
+    again, but not within ``retry`` seconds of a failure; meanwhile the old
+    ones serve, until they are ``max_age`` old and the failure is raised.
+    """
+
+    def __init__(self, resolve: Callable[[], Iterable[tuple]], min_age: float, max_age: float, retry: float = 5.0, clock: Callable[[], float] = time.monotonic):
+        self.resolve, self.min_age, self.max_age, self.retry, self.clock = resolve, min_age, max_age, retry, clock
+        self.tuples: tuple[tuple, ...] = ()
+        self.since: float | None = None
+        self.failed: tuple[float, Exception] | None = None
+
+    def __call__(self) -> tuple[tuple, ...]:
+        now = self.clock()
+        age = float("inf") if self.since is None else now - self.since
+        if age < self.min_age:
+            return self.tuples
+        if self.failed is None or now - self.failed[0] >= self.retry:
+            try:
+                self.tuples, self.since, self.failed = tuple(self.resolve()), now, None
+                return self.tuples
+            except Exception as e:  # whatever a source raises is told once the tuples are too old
+                self.failed = now, e
+        if age >= self.max_age:
+            raise self.failed[1]
+        return self.tuples
+
+
 def targets(spark: SparkSession, c: Collect) -> DataFrame:
     """target, group_path, tags of a collector's every target; as many rows as its arguments combine to."""
     rows = []
