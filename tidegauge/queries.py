@@ -14,13 +14,16 @@ from pyspark.sql import functions as F
 from .model import Dataset, tag_value
 from .operators import lookback
 from .operators.rules import Outcome, apply_rules
-from .plans.evaluate import evaluate_frames
+from .functions import histogram
+from .plans.evaluate import evaluate_frames, validate
 from .plans.frame import Frame
 from .plans.nodes import Collect
 from .plans.parser import parse_rules
 from .sinks import lines
-from .sources import collectd, json_flat, monitor, resolver, tables
-from .sources.history import first_wins
+from .sources import collectd, influx_json, json_flat, monitor, probe, resolver, tables
+from .sources.history import History, convert, first_wins, last_wins
+from .storage import scratch
+from .streaming import engine
 
 Load = Callable[[SparkSession, str], Dataset]
 
@@ -315,13 +318,12 @@ def sink(name: str, make: Callable[[DataFrame], DataFrame], sql: str | None, loa
         ORACLE_SQL[name] = f"WITH {_SQL[load].strip()} {sql}"
 
 
-_LONG = "(SELECT ts_ms, type, 'n' AS m, n::VARCHAR AS x FROM e UNION ALL SELECT ts_ms, type, 'cum', cum::VARCHAR FROM e)"
-_whole = lambda p: p.filter("kind = 'int'")
-sink("sink_prometheus", lambda p: lines.prometheus(_whole(p)), f"""SELECT 'evh_' || type || '_' || m || '{{type="' || type || '"}} ' || x AS line FROM {_LONG}""")
-sink("sink_wavefront", lambda p: lines.wavefront(_whole(p)), f"""SELECT 'evh.' || type || '.' || m || ' ' || x || ' ' || (ts_ms // 1000) || ' source={lines.DEFAULT_SOURCE} type="' || type || '"' AS line FROM {_LONG}""")
-sink("sink_influx", lambda p: lines.influx(_whole(p)), f"""SELECT 'evh.' || type || ',type=' || type || ' ' || m || '=' || x || 'i ' || (ts_ms * 1000000) AS line FROM {_LONG}""")
-sink("sink_json", lambda p: lines.json_scrapes(_whole(p)).select(ts_ms(), "json"), """SELECT ts_ms, '{"ts_msec":' || ts_ms || ',"ts":"' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","data":{' || string_agg('"evh.' || type || '{type=\\"' || type || '\\"}":{"cum":' || cum || ',"n":' || n || '}', ',' ORDER BY type) || '}}' AS json FROM e GROUP BY ts_ms""")
-sink("sink_listing", lambda p: lines.listing(_whole(p)), f"""SELECT 'evh.' || type || '{{type="' || type || '"}} ' || m || ' = ' || x AS line FROM {_LONG} WHERE ts_ms = (SELECT max(ts_ms) FROM sp)""")
+_TEXTS = "(SELECT ts_ms, type, 'n' AS m, n::VARCHAR AS x, n || 'i' AS xi FROM e UNION ALL SELECT ts_ms, type, 'cum', cum::VARCHAR, cum || 'i' FROM e UNION ALL SELECT ts_ms, type, 'total', total::VARCHAR, total::VARCHAR FROM e)"
+sink("sink_prometheus", lambda p: lines.prometheus(p), f"""SELECT 'evh_' || type || '_' || m || '{{type="' || type || '"}} ' || x AS line FROM {_TEXTS}""")
+sink("sink_wavefront", lambda p: lines.wavefront(p), f"""SELECT 'evh.' || type || '.' || m || ' ' || x || ' ' || (ts_ms // 1000) || ' source={lines.DEFAULT_SOURCE} type="' || type || '"' AS line FROM {_TEXTS}""")
+sink("sink_influx", lambda p: lines.influx(p), f"""SELECT 'evh.' || type || ',type=' || type || ' ' || m || '=' || xi || ' ' || (ts_ms * 1000000) AS line FROM {_TEXTS}""")
+sink("sink_json", lambda p: lines.json_scrapes(p).select(ts_ms(), "json"), """SELECT ts_ms, '{"ts_msec":' || ts_ms || ',"ts":"' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","data":{' || string_agg('"evh.' || type || '{type=\\"' || type || '\\"}":{"cum":' || cum || ',"n":' || n || ',"total":' || total || '}', ',' ORDER BY type) || '}}' AS json FROM e GROUP BY ts_ms""")
+sink("sink_listing", lambda p: lines.listing(p), f"""SELECT 'evh.' || type || '{{type="' || type || '"}} ' || m || ' = ' || x AS line FROM {_TEXTS} WHERE ts_ms = (SELECT max(ts_ms) FROM sp)""")
 
 # --- sources ---------------------------------------------------------------------------
 
@@ -396,8 +398,8 @@ SELECT ts_ms, m.k AS metric_key, m.v::BIGINT AS v FROM (SELECT ts_ms, unnest([{{
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A probe target for each pair of a region and a port."""
-    names = [r[0] for r in spark.read.parquet(f"{sf_dir}/region.parquet").select("r_name").orderBy("r_name").collect()]
-    c = Collect("url", ("http://$0:${port}/",), ("web",), (((0,), tuple((x,) for x in names)), (("port",), ((80,), (81,)))))
+    names = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+    c = Collect("url", ("http://$0:${port}/",), ("web",), (((0,), tuple((x,) for x in names)), (("port",), resolver.numbers(82, 80))))
     return resolver.targets(spark, c).select("target", F.array_join("group_path", ".").alias("path"), F.col("tags")["port"].alias("port"))
 
 
@@ -411,3 +413,186 @@ def _api(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 source("eval_json", _api, f"""WITH {HOURLY.strip()} SELECT ts_ms, '{{"timestamp_msec":' || ts_ms || ',"timestamp_str":"' || strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z","metrics":{{"n":[{{"tags":{{}},"value":"' || sum(n) || '","name_tags":"n[]"}}],"c":[' || coalesce(max('{{"tags":{{"type":"s:click"}},"value":"' || cum || '","name_tags":"c[{{\\\\"key\\\\":\\\\"type\\\\",\\\\"value\\\\":\\\\"s:click\\\\"}}]"}}') FILTER (type = 'click'), '') || ']}}}}' AS json FROM e GROUP BY ts_ms""".replace("\\\\", "\\"))
+
+# --- history ---------------------------------------------------------------------------
+
+_POINTS = "(SELECT ts_ms, 'evh.' || type AS group_key, unnest([{'m': 'n', 'k': 'int', 'v': n::DOUBLE}, {'m': 'cum', 'k': 'int', 'v': cum::DOUBLE}, {'m': 'total', 'k': 'dbl', 'v': total}]) AS x FROM e)"
+
+
+def _points(p: DataFrame) -> DataFrame:
+    return p.select(ts_ms(), "group_key", "metric_key", "kind", F.round(F.coalesce("d", F.col("i").cast("double")), 6).alias("v"))
+
+
+def _written(spark: SparkSession, sf_dir: str, parts: int = 1) -> History:
+    """The hourly events as a history, appended in ``parts`` runs of hours."""
+    ds, h = H(spark, sf_dir), History(spark, scratch(spark, "history"))
+    for i in range(parts):
+        some = ds.scrapes if parts == 1 else ds.scrapes.filter(F.floor(F.unix_millis("ts") / 3_600_000 / 100) % parts == i)
+        h.append(Dataset(ds.points.join(some, "ts", "left_semi") if parts > 1 else ds.points, some), i)
+    return h
+
+
+def history(name: str, make: Callable[[SparkSession, str], DataFrame], where: str = "true", what: str = "ts_ms, group_key, x.m AS metric_key, x.k AS kind, round(x.v, 6) AS v") -> None:
+    QUERIES[name] = make
+    ORACLE_SQL[name] = f"WITH RECURSIVE {HOURLY.strip()} SELECT {what} FROM {_POINTS} WHERE {where}"
+
+
+def _overlapping(spark: SparkSession, sf_dir: str) -> History:
+    """Runs of hours out of order, and all of it once more with other values."""
+    h, ds = _written(spark, sf_dir, 3), H(spark, sf_dir)
+    h.append(Dataset(ds.points.withColumn("i", F.col("i") + 1), ds.scrapes), 9)
+    return h
+
+
+def _compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _overlapping(spark, sf_dir)
+    h.compact()
+    return _points(h.scan().points)
+
+
+def _retained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _written(spark, sf_dir)
+    h.retain(1)
+    return _points(h.scan().points)
+
+
+def _copied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copy = History(spark, scratch(spark, "history"), "gzip")
+    convert(_written(spark, sf_dir), copy)
+    return _points(copy.scan().points)
+
+
+def _from(day: int):
+    from datetime import datetime
+
+    return datetime(2024, 1, day)
+
+
+_CLICK = '[{"key":"type","value":"s:click"}]'
+history("history_scan", lambda spark, sf_dir: _points(_written(spark, sf_dir).scan().points))
+history("history_overlap", lambda spark, sf_dir: _points(_overlapping(spark, sf_dir).scan().points))
+history("history_compact", _compacted)
+history("history_retain", _retained, "date_trunc('day', make_timestamp(ts_ms * 1000)) = (SELECT date_trunc('day', make_timestamp(max(ts_ms) * 1000)) FROM sp)")
+history("history_convert", _copied)
+history("history_range", lambda spark, sf_dir: _points(_written(spark, sf_dir).scan(_from(10), _from(12)).points), "ts_ms BETWEEN epoch_ms(TIMESTAMP '2024-01-10') AND epoch_ms(TIMESTAMP '2024-01-12')")
+history("history_reversed", lambda spark, sf_dir: _points(_written(spark, sf_dir).reversed(None, _from(5))), "ts_ms <= epoch_ms(TIMESTAMP '2024-01-05')")
+history("history_group", lambda spark, sf_dir: _points(_written(spark, sf_dir).group("evh.click", _CLICK, _from(20))), "group_key = 'evh.click' AND ts_ms >= epoch_ms(TIMESTAMP '2024-01-20')")
+history("history_stepped", lambda spark, sf_dir: _points(_written(spark, sf_dir).stepped(5 * 3_600_000).points), "ts_ms IN (WITH RECURSIVE st AS (SELECT min(ts_ms) AS ts_ms FROM sp UNION ALL SELECT (SELECT min(sp.ts_ms) FROM sp WHERE sp.ts_ms >= st.ts_ms + 18000000) FROM st WHERE (SELECT max(ts_ms) FROM sp) >= st.ts_ms + 18000000) SELECT ts_ms FROM st)")
+history("history_catalog", lambda spark, sf_dir: _written(spark, sf_dir).catalog().agg(F.unix_millis(F.min("begin")).alias("begin_ms"), F.unix_millis(F.max("end")).alias("end_ms"), F.sum("points").alias("points"), (F.min("bytes") > 0).alias("sized")), what="min(ts_ms) AS begin_ms, max(ts_ms) AS end_ms, count(*)::BIGINT AS points, true AS sized")
+
+
+def _last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Within one collection a group that is told again replaces what was told before."""
+    p = H(spark, sf_dir).points
+    again = p.filter("group_key = 'evh.view' AND metric_key = 'n'").withColumn("i", F.col("i") + 1).withColumn("batch", F.lit(2))
+    return _points(last_wins(p.withColumn("batch", F.lit(1)).unionByName(again)))
+
+
+history("merge_last_wins", _last, "group_key <> 'evh.view' OR x.m = 'n'", "ts_ms, group_key, x.m AS metric_key, x.k AS kind, round(x.v + CASE WHEN group_key = 'evh.view' THEN 1 ELSE 0 END, 6) AS v")
+
+# --- micro-batches ------------------------------------------------------------------------
+
+
+def _streamed(text: str, points: bool) -> Callable[[SparkSession, str], DataFrame]:
+    """Rules over three micro-batches in order of time, each with the history that they look back to."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ds, h, known = H(spark, sf_dir), History(spark, scratch(spark, "stream")), parse_rules(text)
+        cuts = [_from(1).replace(year=2000), _from(8), _from(20), _from(1).replace(year=2100)]
+        alerts = None
+        for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            part = (F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b))
+            out = engine.step(Dataset(ds.points.filter(part), ds.scrapes.filter(part), ds.kinds, ds.metric_kinds), h, known)
+            h.append(out.dataset, i)
+            if out.alerts is not None:
+                h.append_alerts(out.alerts)
+                alerts = spark.read.parquet(h.alerts_path)
+        return _points(h.scan().points.filter("group_key = 'out'")) if points else _alerts(Outcome(ds, alerts))
+
+    return run
+
+
+QUERIES["stream_alerts"] = _streamed('alert busy if sum(evh.* n) by (type) > 2 for 2h message "many";', False)
+ORACLE_SQL["stream_alerts"] = ORACLE_SQL["alert_state_for"]
+QUERIES["stream_look_back"] = _streamed("define out x = sum[24h](evh.* n);", True)
+ORACLE_SQL["stream_look_back"] = f"WITH {HOURLY.strip()} SELECT sp.ts_ms, 'out' AS group_key, 'x' AS metric_key, 'int' AS kind, sum(e.n)::DOUBLE AS v FROM sp JOIN e ON e.ts_ms BETWEEN sp.ts_ms - {_DAY} AND sp.ts_ms GROUP BY sp.ts_ms"
+
+# --- the rest of the language -----------------------------------------------------------------
+
+hourly("unary_plus", "+evh.click total", "dbl", "total")
+QUERIES["rate_by_argument"] = lambda spark, sf_dir: shown(evaluate_frames(H(spark, sf_dir), {"x": "rate(evh.click cum, 2h)"})["x"], "num", TYPE)
+ORACLE_SQL["rate_by_argument"] = ORACLE_SQL["rate_2h"]
+expression("fn_str_by", H, 'str(sum(evh.* n) by (type), "/", sum(evh.* cum) by (type)) by (type)', "text", TYPE, "SELECT ts_ms, type, n || '/' || cum AS v FROM e")
+expression("escapes", H, r"""str("a\"b\\\x41\u00e9", evh.click n)""", "text", TYPE, "SELECT ts_ms, type, 'a\"b\\Aé' || n AS v FROM e WHERE type = 'click'")
+rules("rule_rename_replaces", H, "tag evh.click as type = \"view\"; tag evh.view as kind = 1;", lambda o: o.dataset.points.filter("metric_key = 'n'").select(ts_ms(), "group_key", "tags_key", F.col("i").alias("v")), """SELECT ts_ms, 'evh.' || type AS group_key, CASE type WHEN 'view' THEN '[{"key":"kind","value":"i:1"},{"key":"type","value":"s:view"}]' WHEN 'click' THEN '[{"key":"type","value":"s:view"}]' ELSE '[{"key":"type","value":"s:' || type || '"}]' END AS tags_key, n AS v FROM e""")
+
+
+def _said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the validation of some expressions says: whether they parse, and their canonical text."""
+    asked = ["1+2*3", "sum( evh.*   n )by(type)", "rate[120s]( a.b c )", "a.'b c' d", "sum(", "!x y&&true"]
+    return spark.createDataFrame([(q, v.ok, v.normalized_query) for q in asked for v in [validate(q)]], "query string, ok boolean, normalized string")
+
+
+source("validate_api", _said, "SELECT * FROM (VALUES ('1+2*3', true, '1 + 2 * 3'), ('sum( evh.*   n )by(type)', true, 'sum(evh.* n) by (type)'), ('rate[120s]( a.b c )', true, 'rate[2m](a.b c)'), ('a.''b c'' d', true, 'a.''b c'' d'), ('sum(', false, NULL), ('!x y&&true', true, '!x y && true')) AS t(query, ok, normalized)")
+
+
+def _ordered_histograms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of a type's hours compared with one of fixed counts; and their statistics."""
+    e = H(spark, sf_dir).points.filter("metric_key = 'n'")
+    bar = lambda c: F.array(F.struct(F.lit(0.0).alias("floor"), F.lit(10.0).alias("ceil"), c.cast("double").alias("events")))
+    x = bar(F.col("i"))
+    return e.select(ts_ms(), "group_key", histogram.compare(x, bar(F.lit(3))).alias("order"), histogram.events(x).alias("events"), histogram.total(x).alias("total"), histogram.average(x).alias("avg"), F.round(histogram.percentile(x, 25), 6).alias("p25"), histogram.median(x).alias("median"), histogram.floor(x).alias("low"), histogram.ceil(x).alias("high"))
+
+
+source("hist_statistics", _ordered_histograms, f"WITH {HOURLY.strip()} SELECT ts_ms, 'evh.' || type AS group_key, sign(n - 3)::INT AS \"order\", n::DOUBLE AS events, n * 5.0::DOUBLE AS total, 5.0::DOUBLE AS avg, 2.5::DOUBLE AS p25, 5.0::DOUBLE AS median, 0.0::DOUBLE AS low, 10.0::DOUBLE AS high FROM e")
+
+
+def _hist_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ds = H(spark, sf_dir)
+    h = F.array(F.struct(F.lit(0.0).alias("floor"), F.lit(1.0).alias("ceil"), F.col("i").cast("double").alias("events")))
+    p = ds.points.filter("metric_key = 'cum' AND group_key = 'evh.click'").select(*[c for c in ds.points.columns if c not in ("kind", "b", "i", "d", "s", "h")], F.lit("hist").alias("kind"), h.alias("h"))
+    f = evaluate_frames(Dataset(p, ds.scrapes, frozenset(["hist"])), {"x": "rate(evh.click cum)"})["x"]
+    return f.df.select(ts_ms(), F.round(histogram.events(f.value.get("hist")), 9).alias("v"))
+
+
+source("hist_rate", _hist_rate, f"WITH {HOURLY.strip()} SELECT a.ts_ms, round((a.cum - b.cum) / ((a.ts_ms - b.ts_ms) / 1000.0), 9) AS v FROM e a JOIN sq USING (ts_ms) JOIN e b ON b.ts_ms = sq.prev AND b.type = a.type WHERE a.type = 'click'")
+
+# --- more sources ----------------------------------------------------------------------------
+
+
+def _mbeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One dumped bean an event, with nested attributes."""
+    text = lambda c: F.col(c).cast("string")
+    beans = _events(spark, sf_dir).select(F.timestamp_seconds("event_id").alias("ts"), F.concat(F.lit("app:type="), F.col("event_type"), F.lit(",user="), text("user_id")).alias("object"), F.concat(F.lit('{"p":'), F.col("props"), F.lit(',"a":[1],"n":null,"v":'), text("user_id"), F.lit("}")).alias("attributes"))
+    return probe.mbean_points(beans).select(ts_ms(), "group_key", F.expr("tags['user']").alias("user_tag"), "metric_key", F.col("i").alias("v"))
+
+
+source("src_mbeans", _mbeans, """
+SELECT event_id * 1000 AS ts_ms, 'app.' || event_type AS group_key, 'i:' || user_id AS user_tag, m.k AS metric_key, m.v AS v
+FROM (SELECT *, unnest([{'k': 'p.k', 'v': (props->>'$.k')::BIGINT}, {'k': 'v', 'v': user_id}]) AS m FROM events)""")
+
+
+def _influx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One result a type, a row an event; null cells are absent."""
+    e = _events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k"))
+    row = F.array(F.col("event_id").cast("string"), F.col("user_id").cast("string"), F.when(F.col("event_id") % 2 == 0, F.col("k")))
+    one = F.struct(F.concat(F.lit("ev."), "event_type").alias("name"), F.create_map(F.lit("host"), F.concat(F.lit("h"), F.col("user_id").cast("string"))).alias("tags"), F.array(F.lit("time"), F.lit("u"), F.lit("p.k")).alias("columns"), F.array(row).alias("values"))
+    found = influx_json.to_points(e.select(F.array(F.struct(F.array(one).alias("series"))).alias("results")))
+    return found.select(ts_ms(), "group_key", F.expr("tags['host']").alias("host"), "metric_key", "kind", F.col("i").alias("v"))
+
+
+source("src_influx", _influx, """
+SELECT event_id AS ts_ms, 'ev.' || event_type AS group_key, 's:h' || user_id AS host, m.k AS metric_key, 'int' AS kind, m.v AS v
+FROM (SELECT *, unnest([{'k': 'u', 'v': user_id}, {'k': 'p.k', 'v': CASE WHEN event_id % 2 = 0 THEN (props->>'$.k')::BIGINT END}]) AS m FROM events) WHERE m.v IS NOT NULL""")
+
+
+def _came_and_went(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users who buy on one day and on the next, as targets that come and go."""
+    e = _events(spark, sf_dir).filter("event_type = 'purchase'")
+    seen = lambda day: e.filter(F.to_date("ts") == F.lit(_from(day).date())).select(F.col("user_id").cast("string").alias("target"))
+    return resolver.changes(seen(10), seen(11))
+
+
+source("src_target_changes", _came_and_went, """
+WITH a AS (SELECT DISTINCT user_id::VARCHAR AS target FROM events WHERE ts::DATE = DATE '2024-01-10' AND event_type = 'purchase'), b AS (SELECT DISTINCT user_id::VARCHAR AS target FROM events WHERE ts::DATE = DATE '2024-01-11' AND event_type = 'purchase')
+SELECT target, 'created' AS change FROM b WHERE target NOT IN (SELECT target FROM a) UNION ALL SELECT target, 'closed' FROM a WHERE target NOT IN (SELECT target FROM b)""")

@@ -3,16 +3,31 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of ``df``, in spark.checkpoint.dir; only a local session without that setting gets a folder of its own."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a local session without that setting gets a folder of its own."""
     sc = spark.sparkContext
-    if not spark.conf.get("spark.checkpoint.dir", None) and not sc._jsc.sc().getCheckpointDir().isDefined():
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and sc._jsc.sc().getCheckpointDir().isDefined():
+        at = sc._jsc.sc().getCheckpointDir().get()
+    if not at:
         if not sc.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidegauge-"))
+        at = tempfile.mkdtemp(prefix="tidegauge-")
+        sc.setCheckpointDir(at)
+    return at.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_dir(spark)}/tidegauge/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint of ``df`` in the shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
