@@ -11,6 +11,7 @@ Texts with longer runs or with a reserved string are encoded whole.
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 from array import array
@@ -175,7 +176,13 @@ class Encoder:
             last = max(first + 1, int(np.searchsorted(size, (size[first - 1] if first else 0) + SLICE)))
             self.spaced.age()
             self.bare.age()
-            ids = [self.text(t or "") for t in texts.slice(first, last - first).to_pylist()]
+            collects = gc.isenabled()
+            gc.disable()  # many short-lived lists, no cycles; each pass would walk all words
+            try:
+                ids = [self.text(t or "") for t in texts.slice(first, last - first).to_pylist()]
+            finally:
+                if collects:
+                    gc.enable()
             ends = np.cumsum([0, *map(len, ids)]) >> 2
             yield first, last, np.frombuffer(b"".join(ids), np.uint32), ends
             first = last
