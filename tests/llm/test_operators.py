@@ -682,6 +682,37 @@ def test_pipeline(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
 
 
+# --- classifier against brute force -------------------------------------------------------
+
+
+def test_scores_by_brute_force(spark):
+    """Sizes by zstandard itself, weights at a stationary point of the penalised likelihood, long labelled texts in pieces."""
+    import zstandard
+
+    rng = random.Random(12)
+    words = {1: ["river", "stone", "walked", "light", "quiet"], 0: ["BUY$", "click>>", "free*", "river", "now!"]}
+    texts = [" ".join(rng.choices(words[q] + words[1 - q][:2], k=rng.randint(5, 400))) for i in range(240) for q in [i % 2]]
+    labels = [i % 2 for i in range(240)]
+    model = classifier.fit([t.encode() for t in texts], labels)
+    packers = [zstandard.ZstdCompressor(level=classifier.LEVEL, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+
+    def features(t):
+        raw = t.encode()
+        good, bad = (sum(len(p.compress(raw[i : i + classifier.PIECE])) for i in range(0, len(raw), classifier.PIECE)) for p in packers)
+        size = (good + bad) / (2 * len(raw))
+        return [1.0, 2 * (bad - good) / (good + bad), size, size * size]
+
+    logit = lambda t: 1 / (1 + np.exp(-np.dot(model.weights, features(t))))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in classifier.score(df, model).collect()}
+    assert all(got[i] == pytest.approx(logit(t), abs=1e-4) for i, t in enumerate(texts))
+    held = [i for i in range(240) if i % 3 == 2]
+    assert np.mean([got[i] for i in held]) == pytest.approx(np.mean([labels[i] for i in held]), abs=0.02)
+    long = "".join(f"{i:07d} " for i in range(20_000))
+    cut = spark.createDataFrame([(long,), ("short",), (None,)], "text string").select(classifier.spread(F.col("text"), 4096).alias("t")).collect()
+    assert len(cut[0].t) == 4096 and cut[0].t.startswith(long[:512]) and cut[0].t.endswith(long[-512:]) and (cut[1].t, cut[2].t) == ("short", None)
+
+
 # --- the registered queries -----------------------------------------------------------
 
 CONTRACT = {

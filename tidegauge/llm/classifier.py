@@ -7,8 +7,10 @@ sizes, and the size itself, as a share of the text's, are calibrated to a
 probability by logistic regression on labelled texts that the dictionaries
 have not seen.
 
-The fit uses a bounded sample of labelled rows (``rows`` a class, texts of up
-to ``longest`` characters); every text is scored whole.
+The fit uses a bounded sample of labelled rows: ``rows`` a class, and of a text
+of over ``longest`` characters as many in pieces spread over the whole of it. A
+dictionary is built from up to ``SAMPLES`` pieces, spread over those of its
+class. Every text is scored whole.
 
 Defined results: null text is an empty text, which scores the calibrated prior
 (the share of label 1 in the calibration rows); so does every text if a class
@@ -24,13 +26,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import through_arrow
 
 PIECE, LEVEL, DICTIONARY, SAMPLES = 512, 3, 112_640, 4000
-ROWS, LONGEST = 2000, 50_000
+ROWS, LONGEST = 2000, 16_384
 
 
 @dataclass
@@ -112,13 +114,20 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     return model
 
 
+def spread(text: Column, longest: int) -> Column:
+    """``text``, or of a longer one pieces from its start to its end, ``longest`` characters in all."""
+    n = max(2, longest // PIECE)
+    piece = lambda i: F.substring(text, F.floor(i * (F.length(text) - PIECE) / (n - 1)).cast("int") + 1, F.lit(PIECE))
+    return F.when(F.length(text) > longest, F.array_join(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), piece), "")).otherwise(text)
+
+
 def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", ident: str = "doc_id", text: str = "text", rows: int = ROWS, longest: int = LONGEST) -> Model:
     """A model from up to about ``rows`` rows of ``labels`` a class, chosen by a hash of the id."""
     known = labels.filter(F.col(label).isin(0, 1) & F.col(ident).isNotNull()).select(ident, F.col(label).cast("int").alias("__label")).distinct()
     counts = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
     share = F.when(F.col("__label") == 1, rows / max(counts.get(1, 0), rows)).otherwise(rows / max(counts.get(0, 0), rows))
     chosen = known.filter(F.pmod(F.xxhash64(F.lit(17), ident), F.lit(1 << 20)) < share * (1 << 20))
-    found = docs.select(ident, text).join(F.broadcast(chosen), ident).filter(F.length(text) <= longest)
+    found = docs.select(ident, text).join(F.broadcast(chosen), ident).filter(F.col(text).isNotNull()).withColumn(text, spread(F.col(text), longest))
     got = found.select(ident, text, "__label").toArrow().to_pylist()
     got.sort(key=lambda r: (r[ident], r["__label"], r[text]))
     order = np.random.default_rng(6).permutation(len(got))
