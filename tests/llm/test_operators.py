@@ -74,6 +74,15 @@ def test_encoder_equals_the_library(enc, text):
     assert np.frombuffer(enc.text(text), np.uint32).tolist() == whole(enc, text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(texts=st.lists(st.one_of(st.none(), st.text(max_size=30), st.text(alphabet="abÉ1.,' \n\t\u2003\xa0<>s\x00", max_size=30)), min_size=1, max_size=6))
+def test_slices_equal_the_library(enc, texts):
+    import pyarrow as pa
+
+    got = [ids[x:y].tolist() for _, _, ids, at in enc.encode(pa.array(texts, pa.string())) for x, y in zip(at[:-1], at[1:], strict=True)]
+    assert got == [whole(enc, t) for t in texts]
+
+
 def test_encoder_forgets(enc, monkeypatch):
     monkeypatch.setattr(encoding, "REMEMBERED", 5)
     import pyarrow as pa
