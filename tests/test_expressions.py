@@ -1,7 +1,9 @@
 """``expr = expected`` must hold on every scrape, and results have the kinds expected."""
 
 import math
+import random
 
+import numpy as np
 import pytest
 from conftest import EMPTY, instant, replay
 from pyspark.sql import functions as F
@@ -116,6 +118,33 @@ def test_aggregation_clauses(spark):
     assert [r.tags for r in evaluate(ds, {"x": "count(G m) keep_common"}).collect()][0] == {"x": "i:1"}
 
 
+def test_windows_by_brute_force(spark):
+    """Percentiles and common tags over a window: as of all its values, though no row is copied to the instants that see it."""
+    rng, n = random.Random(5), 40
+    series = [({"host": h, "x": 1, "id": i}, [rng.choice([N, 1, 2, 2, 3.5, 8, "text"]) if rng.random() < 0.6 else N for _ in range(n)]) for i, h in enumerate("aabbbc")]
+    ds = replay(spark, [("G", t, "m", v) for t, v in series], n)
+    seen = lambda h, i: [(t, v[j]) for t, v in series if h in (N, t["host"]) for j in range(max(0, i - 7), i + 1) if v[j] is not N]
+    tags_of = lambda rows: {k: f"{'s' if k == 'host' else 'i'}:{v}" for k, v in rows[0][0].items() if all(t.get(k) == v for t, _ in rows)}
+    numbers = lambda rows: [x for _, x in rows if x != "text"]
+    middle = lambda rows: float(np.percentile(numbers(rows), 50)) if numbers(rows) else N
+    asked = {"p": "percentile_agg[7m](50, G m) by (host)", "k": "percentile_agg[7m](50, G m) by (host) keep_common", "c": "count[7m](G m) by (host) keep_common", "all": "percentile_agg[7m](50, G m)", "kc": "count[7m](G m) keep_common"}
+    expected = {k: set() for k in asked}
+    for i in range(n):
+        for h in "abc":
+            rows = seen(h, i)
+            if rows:
+                expected["p"].add((i, (("host", f"s:{h}"),), middle(rows)))
+                expected["k"].add((i, tuple(sorted(tags_of(rows).items())), middle(rows)))
+                expected["c"].add((i, tuple(sorted(tags_of(rows).items())), len(rows)))
+        rows = seen(N, i)
+        expected["all"].add((i, (), middle(rows)))
+        if rows:
+            expected["kc"].add((i, tuple(sorted(tags_of(rows).items())), len(rows)))
+    for k, expr in asked.items():
+        got = {(r.ts.minute, tuple(sorted((r.tags or {}).items())), r.i if k in ("c", "kc") else r.d) for r in evaluate(ds, {"x": expr}).collect()}
+        assert got == expected[k], k
+
+
 def test_group_interpolation(spark):
     ds = replay(spark, [("A", {}, "i", [4, N, N, N, 8]), ("A", {}, "b", [False, N, N, N, True]), ("A", {}, "s", ["foo", N, N, N, "bar"]), ("A", {}, "mixed", [1, N, N, N, "x"]), ("B", {}, "q", [1] * 5)], seconds=15)
     points = {(r.ts.minute * 60 + r.ts.second, r.metric_key): r for r in lookback.interpolated(ds, 60_000).points.filter("group_key = 'A'").collect()}

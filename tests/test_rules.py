@@ -1,7 +1,7 @@
 import pytest
 from conftest import EMPTY, replay
 
-from tidegauge.operators.rules import apply_rules
+from tidegauge.operators.rules import Rules, apply_rules
 from tidegauge.plans.parser import parse_rules
 
 N = None
@@ -121,3 +121,16 @@ def test_many_rules(spark):
     out = apply_rules(replay(spark, [("G", {}, "x", [1, 2])]), parse_rules(text))
     got = {(r.group_key, r.ts.minute): (r.i, r.tags) for r in out.dataset.points.collect()}
     assert got["r5", 1] == (8, {"n": "i:5"}) and got["r0", 0] == (2, {"n": "i:0"}) and len(got) == 14
+
+
+def test_named_rules_leave_other_points_alone(spark):
+    """Literal names: what isn't named is only filtered, and neither joined nor written again."""
+    ds = replay(spark, [("G", {"h": 1}, "x", [1, 2]), ("G", {"h": 1}, "y", [5, 6]), ("H", {"h": 1}, "x", [7, 8])])
+    text = "define G x = G x + 1; constant G lim 3; define r v = G x + G lim; tag r as t = 1; match G as g { define ${g} x = 2 * g x; define out.${g[0]} w = g x; }"
+    rules = Rules(ds)
+    out = rules.apply(parse_rules(text))
+    got = {(r.group_key, r.metric_key, r.ts.minute): (r.i, len(r.tags)) for r in out.dataset.points.collect()}
+    assert got == {(g, m, i): (v[i], tags) for g, m, v, tags in [("G", "x", [4, 6], 1), ("G", "y", [5, 6], 1), ("H", "x", [7, 8], 1), ("G", "lim", [3, 3], 1), ("r", "v", [5, 6], 2), ("out.G", "w", [4, 6], 1)] for i in range(2)}
+    plan = rules.base._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" in plan and "Join" not in plan and "LogicalRDD" in plan and "Aggregate" not in plan
+    assert len(rules.layers) == 6

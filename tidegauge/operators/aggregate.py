@@ -100,6 +100,11 @@ def _fold_percentile(v: Value, p: float) -> Fold:
     return Fold({"p": F.percentile(v.number(), p / 100)}, {}, value(dbl=F.col("p")))
 
 
+def _weighted_percentile(f: Fold, p: float) -> Fold:
+    """Over parts (p, n): a number and how often it occurs. Within a window no row is copied to the instants that look back on it."""
+    return Fold({"p": F.col("p"), "n": F.col("n")}, {"p": lambda c: F.percentile(c, p / 100, F.col("n"))}, f.end)
+
+
 def fold(fn: str, v: Value, percentile: float | None = None) -> Fold:
     if fn == "percentile_agg":
         return _fold_percentile(v, percentile)
@@ -137,10 +142,15 @@ def _grouped(df: DataFrame, clause: Clause) -> DataFrame:
     return df.withColumn("group", tags_key(F.map_filter("tags", keep)))
 
 
-def _common(df: DataFrame, ctx: tuple[str, ...]) -> DataFrame:
-    """ctx, group, common: the tags that all members of a group share. Entries are counted, so no group is gathered."""
-    total = df.groupBy(*ctx, "group").agg(F.count(F.lit(1)).alias("total"))
-    entries = df.select(*ctx, "group", F.explode(F.map_entries("tags")).alias("e")).groupBy(*ctx, "group", "e").agg(F.count(F.lit(1)).alias("n"))
+def _common(df: DataFrame, ctx: tuple[str, ...], over: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """ctx, group, common: the tags that all members of a group share. Entries are counted, so no group is gathered.
+
+    ``over`` sums counts (ctx, group, n) over a look-back window.
+    """
+    count = F.count(F.lit(1)).alias("n")
+    total = over(df.groupBy(*ctx, "group").agg(count)).withColumnRenamed("n", "total")
+    entries = df.select(*ctx, "group", F.explode(F.map_entries("tags")).alias("e")).select(*ctx, F.struct("group", "e").alias("group"))
+    entries = over(entries.groupBy(*ctx, "group").agg(count)).select(*ctx, "group.*", "n")
     shared = entries.join(total, [*ctx, "group"]).filter("n = total").groupBy(*ctx, "group").agg(F.map_from_entries(F.sort_array(F.collect_list("e"))).alias("common"))
     return total.select(*ctx, "group").join(shared, [*ctx, "group"], "left").withColumn("common", F.coalesce("common", no_tags()))
 
@@ -149,15 +159,6 @@ def _ms(ts: str = "ts") -> Column:
     return F.unix_millis(ts)
 
 
-def _expanded(rows: DataFrame, spine: DataFrame, ctx: tuple[str, ...], d: int) -> DataFrame:
-    """Each row at every instant whose window [ts - d, ts] holds it; instants and rows meet in slots of the window's length."""
-    slot = lambda c: F.floor(c / max(d, 1))
-    at = spine.select(*ctx).withColumn("at_ms", _ms()).withColumn("slot", slot(F.col("at_ms"))).withColumnRenamed("ts", "at_ts")
-    dealt = rows.withColumn("row_ms", _ms()).withColumn("slot", F.explode(F.array_distinct(F.array(slot(F.col("row_ms")), slot(F.col("row_ms") + d))))).drop("ts")
-    met = dealt.join(at, ["slot", *[c for c in ctx if c != "ts"]]).filter(F.col("at_ms").between(F.col("row_ms"), F.col("row_ms") + d))
-    return met.withColumnRenamed("at_ts", "ts").drop("slot", "row_ms", "at_ms")
-
-
 def _windowed(parts: DataFrame, f: Fold, spine: DataFrame, ctx: tuple[str, ...], d: int, every: bool) -> DataFrame:
     """States of parts (ctx, group, state) merged over [ts - d, ts], at each instant whose window holds one (``every``: at all).
 
@@ -179,7 +180,7 @@ def _windowed(parts: DataFrame, f: Fold, spine: DataFrame, ctx: tuple[str, ...],
     rows = rows.select(*ctx, "group", "ms", "stretch", F.lit(True).alias("is_part"), *names)
     grid = grid.select(*ctx, "group", "ms", stretch(F.col("ms")).alias("stretch"), F.lit(False).alias("is_part"), *[F.lit(None).cast(parts.schema[n].dataType).alias(n) for n in names])
     w = W.partitionBy(*own, "group", "stretch").orderBy("ms").rangeBetween(-d, 0)
-    merged = rows.unionByName(grid).select(*ctx, "group", "is_part", F.max("is_part").over(w).alias("any_part"), *[f.merge[n](F.col(n)).over(w).alias(n) for n in names])
+    merged = rows.unionByName(grid).select(*ctx, "group", "is_part", F.max("is_part").over(w).alias("any_part"), *[m(F.col(n)).over(w).alias(n) for n, m in f.merge.items()])
     return merged.filter(~F.col("is_part") & (F.lit(every) | F.col("any_part")))
 
 
@@ -203,15 +204,19 @@ def aggregate(fn: str, frames: list[Frame], clause: Clause, spine: DataFrame, ct
     else:
         rows = _union([*vectors, *scalars], kinds).withColumn("group", F.lit("[]"))
     f = fold(fn, v, percentile)
-    if window_ms is not None and (fn == "percentile_agg" or clause.keep_common):
-        members = _expanded(members, spine, ctx, window_ms) if clause.keep_common else None
-        rows, window_ms = _expanded(rows, spine, ctx, window_ms), None
-    states = rows.groupBy(*ctx, "group").agg(*[c.alias(k) for k, c in f.start.items()])
-    if window_ms is not None:
-        states = _windowed(states, f, spine, ctx, window_ms, every=not vector)
+    if window_ms is None:
+        states = rows.groupBy(*ctx, "group").agg(*[c.alias(k) for k, c in f.start.items()])
+    else:
+        if fn == "percentile_agg":  # its parts are how often each number occurs at an instant
+            parts, f = rows.groupBy(*ctx, "group", v.number().alias("p")).agg(F.count(F.lit(1)).alias("n")), _weighted_percentile(f, percentile)
+        else:
+            parts = rows.groupBy(*ctx, "group").agg(*[c.alias(k) for k, c in f.start.items()])
+        states = _windowed(parts, f, spine, ctx, window_ms, every=not vector)
     if vector:
         if clause.keep_common:
-            states = states.join(_common(members, ctx), [*ctx, "group"]).withColumn("tags", F.col("common")).withColumn("tags_key", tags_key(F.col("tags")))
+            summed = Fold({"n": F.col("n")}, {"n": F.sum}, literal(0))
+            over = lambda counts: counts if window_ms is None else _windowed(counts, summed, spine, ctx, window_ms, every=False).select(*ctx, "group", "n")
+            states = states.join(_common(members, ctx, over), [*ctx, "group"]).withColumn("tags", F.col("common")).withColumn("tags_key", tags_key(F.col("tags")))
         else:
             states = states.withColumn("tags_key", F.col("group")).withColumn("tags", tags_of(F.col("group")))
         return frame(states, f.end, False, ctx)

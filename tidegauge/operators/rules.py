@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -30,11 +30,11 @@ class Outcome:
     alerts: DataFrame | None = None
 
 
-def upsert(ds: Dataset, new: DataFrame, kinds: Iterable[str]) -> Dataset:
+def upsert(points: DataFrame, new: DataFrame) -> DataFrame:
     """Points of ``new`` in the place of those with the same instant, group and metric."""
     key = ["ts", "group_key", "tags_key", "metric_key"]
-    kept = ds.points.join(new.select(*key), key, "left_anti")
-    return replace(ds, points=kept.select(*_POINT).unionByName(new.select(*_POINT)), kinds=ds.kinds | frozenset(kinds), metric_kinds={})
+    kept = points.join(new.select(*key), key, "left_anti")
+    return kept.select(*_POINT).unionByName(new.select(*_POINT))
 
 
 def _array(components) -> F.Column:
@@ -93,19 +93,60 @@ def _with_tags(df: DataFrame, added: list) -> DataFrame:
     return df.withColumn("tags_key", tags_key(F.col("tags")))
 
 
-#: Changes to a dataset after which its points are checkpointed: each change reads them several times, so plans would double.
-CUT_EVERY = 3
+#: Changes of any points after which they are checkpointed, as each reads them several times and plans would double; layers after which they become one.
+CUT_EVERY, LAYERS = 3, 8
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 class Rules:
-    """Applies statements to a dataset; aliases hold for later statements."""
+    """Applies statements to a dataset; aliases hold for later statements.
+
+    A statement that names its group or its metrics literally changes points of
+    those names only. The others stay in ``base``, behind a filter that reaches
+    the scan; what was made of the changed ones is a layer beside it, which is
+    checkpointed once another change follows. So such statements neither
+    shuffle nor rewrite the dataset, however many there are.
+    """
 
     def __init__(self, ds: Dataset, scope: Scope = Scope()):
         self.ds, self.scope, self.found, self.changes = ds, scope, [], 0
-
-    def _change(self, ds: Dataset) -> None:
-        self.changes += 1
-        self.ds = replace(ds, points=cut(ds.points)) if self.changes % CUT_EVERY == 0 else ds
+        self.base, self.layers, self.loose = ds.points.select(*_POINT), [], False
+
+    def _target(self, group: n.Name, metrics: Iterable[n.Name] = ()) -> F.Column | None:
+        """Which points a statement may replace, by the names that are literal; None: any."""
+        is_ = lambda column, name: F.col(column).eqNullSafe(path_key(list(name)))
+        fixed, names = self.compiler.literal_name(group), [self.compiler.literal_name(m) for m in metrics]
+        tests = [is_("group_key", fixed)] if fixed else []
+        if names and all(names):
+            tests.append(reduce(lambda a, b: a | b, [is_("metric_key", x) for x in names]))
+        return reduce(lambda a, b: a & b, tests) if tests else None
+
+    def _change(self, target: F.Column | None, change: Callable[[DataFrame], DataFrame], kinds: Iterable[str] = ()) -> None:
+        """``change`` maps the points of the target to new ones of the target."""
+        points = _union([self.base, *self.layers])
+        self.loose = target is not None
+        if self.loose:
+            self.base, self.layers = self.base.filter(~target), [*[x.filter(~target) for x in self.layers], change(points.filter(target))]
+        else:
+            self.base, self.layers, self.changes = change(points), [], self.changes + 1
+            if self.changes % CUT_EVERY == 0:
+                self.base = cut(self.base)
+        self.ds = replace(self.ds, kinds=self.ds.kinds | frozenset(kinds), metric_kinds={})
+        self._show()
+
+    def _show(self) -> None:
+        self.ds = replace(self.ds, points=_union([self.base, *self.layers]))
+
+    def _settle(self) -> None:
+        """Before a change: the layer of the one before is checkpointed."""
+        if self.loose:
+            self.layers[-1], self.loose = cut(self.layers[-1]), False
+            if len(self.layers) > LAYERS:
+                self.layers = [cut(_union(self.layers))]
+            self._show()
 
     @property
     def compiler(self) -> Compiler:
@@ -122,6 +163,7 @@ class Rules:
 
     def _Constant(self, r: n.Constant) -> None:
         """The metrics on every group there is at that path; without one nothing happens."""
+        self._settle()
         c = self.compiler
         groups = c.group_points(r.group).select("ts", *c.ctx[1:], "group_path", "tags", "tags_key", "group_key").dropDuplicates(["ts", "group_key", "tags_key", *c.ctx[1:]])
         made, kinds = [], set()
@@ -131,9 +173,10 @@ class Rules:
             df = _path(c, groups, name, "metric_path")
             made.append(df.select("ts", "group_key", "group_path", "tags", "tags_key", path_key(F.col("metric_path")).alias("metric_key"), "metric_path", *v.columns()))
         new = _once(reduce(lambda a, b: a.unionByName(b), made))
-        self._change(upsert(self.ds, new, kinds))
+        self._change(self._target(r.group, [name for name, _ in r.metrics]), lambda points: upsert(points, new), kinds)
 
     def _Define(self, r: n.Define) -> None:
+        self._settle()
         c, made, kinds = self.compiler, [], set()
         for name, node in r.metrics:
             x = on_spine(c.compile(node), c.spine)
@@ -142,10 +185,12 @@ class Rules:
             made.append(_points(c, x, r.group, name))
             kinds |= x.value.kinds
         if made:
-            self._change(upsert(self.ds, _once(reduce(lambda a, b: a.unionByName(b), made)), kinds))
+            new = _once(reduce(lambda a, b: a.unionByName(b), made))
+            self._change(self._target(r.group, [name for name, _ in r.metrics]), lambda points: upsert(points, new), kinds)
 
     def _SetTag(self, r: n.SetTag) -> None:
         """Renames groups; a renamed group replaces one that has its new name already."""
+        self._settle()
         c = self.compiler
         groups = c.group_points(r.group).select(*c.ctx, "group_key", "tags_key", "tags").dropDuplicates([*c.ctx, "group_key", "tags_key"])
         named = groups.withColumn("old_key", F.col("tags_key"))
@@ -154,11 +199,14 @@ class Rules:
         was = F.split(F.col("s"), "\0")
         moves = moved.df.select("ts", F.get(was, F.lit(0)).alias("group_key"), F.get(was, F.lit(1)).alias("tags_key"), F.col("tags_key").alias("new_key"), F.col("tags").alias("new_tags"))
         moves = moves.dropDuplicates(["ts", "group_key", "tags_key"]).filter("new_key <> tags_key")
-        points = self.ds.points
-        renamed_points = points.join(moves, ["ts", "group_key", "tags_key"]).withColumn("tags", F.col("new_tags")).withColumn("tags_key", F.col("new_key")).select(*_POINT)
         replaced = moves.select("ts", "group_key", F.col("new_key").alias("tags_key")).distinct()
-        rest = points.join(moves, ["ts", "group_key", "tags_key"], "left_anti").join(replaced, ["ts", "group_key", "tags_key"], "left_anti")
-        self._change(replace(self.ds, points=rest.select(*_POINT).unionByName(_once(renamed_points))))
+
+        def renamed(points: DataFrame) -> DataFrame:
+            there = points.join(moves, ["ts", "group_key", "tags_key"]).withColumn("tags", F.col("new_tags")).withColumn("tags_key", F.col("new_key")).select(*_POINT)
+            rest = points.join(moves, ["ts", "group_key", "tags_key"], "left_anti").join(replaced, ["ts", "group_key", "tags_key"], "left_anti")
+            return rest.select(*_POINT).unionByName(_once(there))
+
+        self._change(self._target(r.group), renamed)
 
     def _MatchRule(self, r: n.MatchRule) -> None:
         """All combinations of what the selectors match, as rows: the rules run once, over all of them."""
