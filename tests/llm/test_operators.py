@@ -47,6 +47,21 @@ def say(texts):
     return np.array(texts, "<u4").tobytes()
 
 
+def test_batches_are_bounded_in_bytes(spark):
+    """Texts of a megabyte: no batch holds a thousand of them."""
+    import pyarrow as pa
+
+    from tidegauge.llm.common import through_arrow
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "bytes"])
+
+    df = spark.range(0, 150, 1, 1).select("id", F.repeat(F.lit("abcdefgh"), 1 << 17).alias("text"))
+    got = through_arrow(df, sizes, "n long, bytes long").collect()
+    assert sum(r.n for r in got) == 150 and max(r.bytes for r in got) <= (64 << 20) + (2 << 20)
+
+
 # --- token ids ----------------------------------------------------------------
 
 
@@ -555,6 +570,49 @@ def test_common_ids_find_neighbours_too(spark):
     assert {i % 2 for i in list(dict.fromkeys(index.neighbours(0)))[:7]} == {0}
 
 
+def naive_pack(docs, idf, mean, window):
+    """Windows filled one rest at a time, each scored against all that are left."""
+    out, seq, rest = [], 0, {}
+    for i, d in enumerate(docs):
+        for at in range(0, len(d) // window * window, window):
+            out.append((i, at, window, seq, 0))
+            seq += 1
+        if len(d) % window:
+            rest[i] = d[len(d) // window * window :].tolist()
+    count = {i: Counter(r) for i, r in rest.items()}
+
+    def score(a, b):
+        k = 1.2 * (1 - 0.75 + 0.75 * len(rest[b]) / max(mean, 1.0))
+        return sum(float(idf[t]) * n * (1.2 + 1) / (n + k) for t in sorted(count[a]) if idf[t] > 0 and (n := count[b][t]))
+
+    unused, left, here, place = list(rest), sum(map(len, rest.values())), None, 0
+    while left:
+        room = window if left >= window else 1 << (left.bit_length() - 1)
+        filled, seed = 0, here
+        while filled < room:
+            if here is None:
+                here, place = unused[0] if seed is None else min(unused, key=lambda d: (-score(seed, d), d)), 0
+                unused.remove(here)
+                seed = here if seed is None else seed
+            n = min(room - filled, len(rest[here]) - place)
+            out.append((here, len(docs[here]) // window * window + place, n, seq, filled))
+            filled, place = filled + n, place + n
+            here = None if place == len(rest[here]) else here
+        left, seq = left - room, seq + 1
+    return out
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_a_shard_packs_as_by_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    docs = [rng.integers(0, 40 * (i % 3 + 1), rng.integers(1, 150 if i % 9 else 400)).astype(np.uint16) for i in range(90)]
+    docs += [docs[3], docs[3], docs[10]]
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=120)
+    idf = np.log(1 + (len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    mean = float(np.mean([len(d) for d in docs]))
+    assert list(packing.pack_shard(docs, idf, mean, 128)) == naive_pack(docs, idf, mean, 128)
+
+
 def test_similar_documents_share_sequences():
     topics = [np.arange(100 * k, 100 * k + 100) for k in range(8)]
     rng = np.random.default_rng(2)
@@ -665,30 +723,93 @@ def test_mix_comes_near_targets(spark):
 # --- pipeline ---------------------------------------------------------------------
 
 
+def brute_copies(made):
+    """How often each (id, text, source) is taken: hashes in order, up to the one where the source's budget ends or before it."""
+    size, per = defaultdict(int), defaultdict(lambda: defaultdict(int))
+    place = lambda i: int(hashlib.md5(("" if i is None else str(i)).encode()).hexdigest()[:15], 16)
+    for i, t, s in made:
+        n = len(WORD.findall(t or ""))
+        size[s] += n
+        per[s][place(i)] += n
+    target, whole, limit = brute_targets(size), {}, {}
+    for s in size:
+        whole[s], limit[s], upto = min(2, int(target[s] // size[s])) if size[s] else 0, 0, 0
+        budget = target[s] - whole[s] * size[s]
+        for h in sorted(per[s]):
+            if upto < budget <= upto + per[s][h]:
+                limit[s] = h + (upto + per[s][h] - budget <= budget - upto)
+            upto += per[s][h]
+    return Counter(x for x in made for _ in range(whole[x[2]] + (place(x[0]) < limit[x[2]])))
+
+
 def test_pipeline(spark, tmp_path):
+    """Each stage against brute force on what its predecessor kept; further columns named like results pass through."""
     import corpus_pipeline
 
     rng = random.Random(11)
-    words = ["the", "of", "and", "house", "river", "stone", "light", "under", "over", "green", "walk", "told", "seven", "quiet", "morning"]
-    text = lambda: " ".join(rng.choices(words, k=rng.randint(20, 200)))
-    made = [(i, text(), "en", f"s{i % 4}", 0) for i in range(120)]
-    made += [(200, made[5][1], "en", "s1", 0), (201, made[5][1] + " end", None, "s1", 0), (202, "12345 6789", "en", "s2", 0), (203, None, "en", None, 0), (204, "write to me@example.com about the house and the river of light", "en", "s3", 0)]
-    spark.createDataFrame(made, SCHEMA).repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
+    said = {"en": "the of and house river stone light under over green walk told seven quiet morning with shout thing", "fr": "les des maison fleuve pierre lumière sous vert marche dit sept matin avec chose quand déjà être une"}
+    text = lambda lang, n: " ".join(rng.choices(said[lang].split(), k=n))
+    made = [(i, text(("en", "fr")[i % 2], rng.randint(20, 200)), ("en", "fr")[i % 2], [None, "b", "a", "hot", "hot"][i % 5]) for i in range(200)]
+    for k in range(60):  # near copies: a word at the end, or one in the middle
+        base = made[rng.choice([4, 4, 4, 7, 50, 51])]
+        t = base[1].split()
+        t.insert(rng.choice([len(t), len(t) // 2]), "light")
+        made.append((300 + k, " ".join(t), [base[2], None][k % 2], "copies"))
+    made += [(400, made[5][1], "fr", "a"), (401, "12345 6789", "en", "b"), (402, None, "en", None), (403, "Ελληνικά κείμενα για τον ποταμό", None, "a"), (None, text("en", 40), None, "hot"), (404, " ".join(text("en", 200) for _ in range(60)), None, "long")]
+    made += [(405 + i, f"write to me{i}@example.com about 10.0.0.{i} or +1 555 010 99{i:02d}, {text('en', 40)}", "en", "hot") for i in range(20)]
+    rows_ = [(i, t, lang, s, len(t or ""), "x", "y", "z") for i, t, lang, s in made]
+    spark.createDataFrame(rows_, SCHEMA + ", key string, h string, spans string").repartition(4).write.parquet(str(tmp_path / "documents.parquet"))
     docs, seen = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
         out = stage(spark, docs, str(tmp_path))
         if k < 4:
             assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in docs.schema]
         out.write.parquet(str(tmp_path / name))
-        docs = seen[name] = spark.read.parquet(str(tmp_path / name))
-    ids = {n: {r.doc_id for r in d.select("doc_id").collect()} for n, d in seen.items()}
-    assert ids["language_id"] == {m[0] for m in made} - {202, 203}
-    assert 5 in ids["simhash_dedup"] and 200 not in ids["simhash_dedup"]
-    fps = {r[0]: brute_fingerprint(r[1]) for r in made if r[0] in ids["language_id"]}
-    assert ids["simhash_dedup"] == set(brute_components(fps).values())
-    assert "[EMAIL]" in seen["pii"].filter("doc_id = 204").first().text
-    assert seen["packing"].agg(F.sum("length")).first()[0] > 0 and ids["packing"] <= ids["mix_sources"]
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == seen["packing"].count()
+        docs = spark.read.parquet(str(tmp_path / name))
+        seen[name] = [tuple(r) for r in docs.collect()] if k < 4 else docs.collect()
+
+    french = lambda t: "maison" in t or "fleuve" in t or "pierre" in t
+    known = [(i, t, lang or ("fr" if french(t) else "en"), *rest) for i, t, lang, *rest in rows_ if i not in (401, 402, 403)]
+    assert Counter(seen["language_id"]) == Counter(known)
+
+    sets = [(lambda w: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})(r[1].split()) for r in known]
+    group = list(range(len(known)))
+    for _ in range(3):
+        for x in range(len(known)):
+            for y in range(x):
+                if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+                    group[x] = group[y] = min(group[x], group[y])
+    first = {}
+    for r, g in zip(known, group, strict=True):
+        first[g] = min(first.get(g, r), r, key=lambda x: -1 if x[0] is None else x[0])
+    assert Counter(seen["simhash_dedup"]) == Counter(first.values()) and len(first) <= len(known) - 55
+
+    clean = []
+    for r in first.values():
+        t = r[1]
+        for k, a, b in sorted(brute_spans(t), key=lambda x: -x[1]):
+            t = f"{t[:a]}[{k.upper()}]{t[b:]}"
+        clean.append((r[0], t, r[2], r[3], len(t), *r[5:]))
+    assert Counter(seen["pii"]) == Counter(clean) and sum("[EMAIL] about [IP] or [PHONE]," in r[1] for r in clean) == 20
+
+    assert Counter((r[0], r[1], r[3]) for r in seen["mix_sources"]) == brute_copies([(r[0], r[1], r[3]) for r in clean])
+    assert set(seen["mix_sources"]) <= set(clean)
+
+    check_pieces(seen["packing"], seen["mix_sources"], encoding.encoder(tokenizer("word_bpe_49k.json"), "word", 2), 4096)
+    ids = Counter()
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        ids[r.doc_id] += r.length
+    assert ids == sum((Counter({r.doc_id: r.length}) for r in seen["packing"]), Counter())
+
+
+@pytest.mark.parametrize("which", ["awkward", "empty"])
+def test_pipeline_on_awkward_tables(spark, tables, which):
+    """Ids that repeat or are null, clashing names, a very long text, and nothing at all."""
+    import corpus_pipeline
+
+    path, made = tables[which]
+    got = corpus_pipeline.run(spark, path).collect()
+    assert bool(got) == bool(made) and {r.doc_id for r in got} <= {m[0] for m in made if m[1] and any(c.isalpha() for c in m[1])}
 
 
 # --- classifier against brute force -------------------------------------------------------

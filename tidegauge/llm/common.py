@@ -70,7 +70,9 @@ def through_arrow(df: DataFrame, run: Callable, schema: object) -> DataFrame:
     """``df.mapInArrow(run, schema)`` in little memory.
 
     Batches are of at most ``BATCH_ROWS`` rows, so that neither side holds
-    much text at once: the session's setting is lowered if it is higher. And
+    much text at once: the session's setting is lowered if it is higher. Of
+    long texts Spark puts fewer in one, 64 MB and the text that passes it
+    (``spark.sql.execution.arrow.maxBytesPerBatch``). And
     memory goes back to the system when a task ends, as workers live on.
     Workers find this package where the driver has it, unless it is installed.
     """
