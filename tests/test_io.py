@@ -1,9 +1,13 @@
 """Sources, sinks, history, streaming and configurations."""
 
+import datetime as dt
 import json
+import re
 import socket
 import threading
-from http.server import BaseHTTPRequestHandler, HTTPServer
+import time
+from http.server import BaseHTTPRequestHandler, HTTPServer, ThreadingHTTPServer
+from urllib.parse import parse_qs, urlparse
 
 import pytest
 from conftest import EMPTY, instant, replay
@@ -13,7 +17,7 @@ from tidegauge import __main__ as cli
 from tidegauge.model import Dataset
 from tidegauge.operators.rules import apply_rules
 from tidegauge.plans import config
-from tidegauge.plans.evaluate import as_json, evaluate, pages
+from tidegauge.plans.evaluate import Portions, as_json, evaluate, pages
 from tidegauge.plans.parser import parse_configuration, parse_rules
 from tidegauge.sinks import lines
 from tidegauge.sources import collectd, influx_json, json_flat, monitor, probe, resolver
@@ -74,6 +78,41 @@ def test_influx_results(spark, tmp_path):
     assert got[1, "v"].i == 1 and got[2, "v"].d == 2.5 and got[1, "s"].s == "17x" and got[2, "z"].b is True and (1, "z") not in got
 
 
+def test_influx_server(spark):
+    """Slices of an hour cover a range exactly once; histograms and their instants stay whole; errors are raised."""
+    at = [instant(0).replace(tzinfo=dt.UTC) + dt.timedelta(minutes=m) for m in range(0, 300, 7)]
+    stamps, asked = [int(t.timestamp() * 1000) for t in at], []
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            args = parse_qs(urlparse(self.path).query)
+            asked.append(args["q"][0])
+            low, high = map(int, re.findall(r"(\d+)ms", args["q"][0]))
+            there = [t for t in stamps if low <= t <= high]
+            series = [{"name": "a.b", "columns": ["time", "v"], "values": [[t, t % 1000 + 0.5] for t in there]}]
+            series += [{"name": "a.b", "tags": {"__range__": r}, "columns": ["time", "h"], "values": [[t, n] for t in there]} for r, n in (("0.0..1.0", 3), ("1.0..2.0", 5))]
+            out = {"results": [{"error": "no such"}]} if args["db"] == ["none"] else {"results": [{"series": series} if there else {}]}
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(out).encode())
+
+        def log_message(self, *_):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    begin, end = at[3], at[-2]
+    got = influx_json.scan(spark, url, "db", begin, end, influx_json.select(("a", "b"))).collect()
+    assert sorted(int(r.ts.replace(tzinfo=dt.UTC).timestamp() * 1000) for r in got if r.metric_key == "v") == stamps[3:-1]
+    assert sorted(len(r.h) for r in got if r.metric_key == "h") == [2] * len(stamps[3:-1])
+    assert len(set(asked)) == len(asked) == 5 and all('FROM "a.b" WHERE' in q for q in asked)
+    assert influx_json.scan(spark, url, "db", end, begin).count() == 0
+    with pytest.raises(ValueError, match="no such"):
+        influx_json.ask(url, "none", "SELECT * FROM x WHERE time >= 0ms AND time <= 1ms")
+    server.shutdown()
+
+
 def test_pushdown_rendering():
     from tidegauge.plans.parser import Parser
 
@@ -156,6 +195,26 @@ def test_probes(spark):
     server.shutdown()
 
 
+def test_scrape_deadline(spark):
+    """What is late or raises counts as failed; the others' results are there in time."""
+
+    def slow(target):
+        if target == "late":
+            time.sleep(8)
+        if target == "wrong":
+            raise RuntimeError("probe")
+        return {"up": target != "down", "n": 1}
+
+    names = ["a", "late", "wrong", "down", "b"]
+    targets = spark.createDataFrame([(t, [t], {}) for t in names], "target string, group_path array<string>, tags map<string,string>")
+    begun = time.monotonic()
+    found = probe.collect(targets, slow, 1, deadline_s=1.0).collect()
+    assert time.monotonic() - begun < 7
+    found = spark.createDataFrame([(r.ts, r.group_path, r.tags, r.json) for r in found], "ts timestamp, group_path array<string>, tags map<string,string>, json string")
+    assert {r.group_key for r in probe.to_points(found).collect()} == {"a", "b", "down"}
+    assert found.agg(probe.failed(found)).first()[0] == 3 and found.count() == 5
+
+
 def test_mbeans(spark):
     rows = spark.createDataFrame([(instant(0), "java.lang:type=Memory", '{"Heap": {"used": 5, "max": 9}, "Verbose": false, "L": [1], "N": null}'), (instant(0), "x:name=a.b,type=T,port=80,d=1.5,f=true,s=q", '{"V": "t"}')], "ts timestamp, object string, attributes string")
     got = {(r.group_key, r.metric_key): r for r in probe.mbean_points(rows).collect()}
@@ -267,6 +326,35 @@ def test_eval_json_and_pages(spark):
     assert [len(p) for p in pages(rows, 5)] == [5, 5, 2]
 
 
+def test_portions_resume(spark):
+    """By size and by time; a cookie is good once; what fails is raised."""
+    df, seen, cookie, portions = spark.range(0, 25, 1, 3), [], None, Portions(spark.range(0, 25, 1, 3), ahead=4)
+    while True:
+        p = portions.next(10, 60, cookie)
+        seen.append(len(p.rows))
+        if p.cookie is None:
+            break
+        with pytest.raises(LookupError):
+            portions.next(10, 60, cookie or "other")
+        cookie = p.cookie
+    assert seen == [10, 10, 5]
+
+    def slowly(batches):
+        time.sleep(2)
+        yield from batches
+
+    slow = Portions(df.mapInPandas(slowly, "id long"))
+    p = slow.next(25, 0.2)
+    assert len(p.rows) < 25 and p.cookie
+    rest = []
+    while p.cookie:
+        rest += p.rows
+        p = slow.next(25, 20, p.cookie)
+    assert sorted(r.id for r in rest + p.rows) == list(range(25))
+    with pytest.raises(Exception, match="bad row"):
+        Portions(df.selectExpr("raise_error('bad row') AS x")).next(5)
+
+
 def test_configuration_files(tmp_path, capsys):
     (tmp_path / "inner.conf").write_text('collect collectd_push "p" as c; alert a if b c;')
     (tmp_path / "main.conf").write_text('import all from "inner.conf"; collect tcp as t { host = ["x"] } define q r = a b;')

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import json
+import queue
+import threading
+import time
+import uuid
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, replace
 from datetime import datetime, timedelta
@@ -104,6 +108,69 @@ def pages(rows: DataFrame, size: int) -> Iterator[list]:
         yield page
 
 
+@dataclass(frozen=True)
+class Portion:
+    """``cookie`` is what the next portion is asked with; None after the last."""
+
+    rows: list
+    cookie: str | None
+
+
+class Portions:
+    """Rows of a result in portions that end at ``size`` rows or after ``delay_s``, whichever comes first.
+
+    Rows are fetched meanwhile, partition by partition, at most ``ahead`` of
+    what was asked for. A cookie is good for one portion: with any other than
+    the last one given LookupError is raised, and one begins anew, from the
+    instant after the last row seen.
+    """
+
+    def __init__(self, rows: DataFrame, ahead: int = 10_000):
+        self._held: queue.Queue = queue.Queue(ahead)
+        self._cookie, self._closed = None, threading.Event()
+        threading.Thread(target=self._fetch, args=(rows,), daemon=True).start()
+
+    def _put(self, what: tuple) -> bool:
+        while not self._closed.is_set():
+            try:
+                self._held.put(what, timeout=0.2)
+                return True
+            except queue.Full:
+                pass
+        return False
+
+    def _fetch(self, rows: DataFrame) -> None:
+        try:
+            for r in rows.toLocalIterator(prefetchPartitions=True):
+                if not self._put(("row", r)):
+                    return
+            self._put(("end", None))
+        except Exception as e:  # raised to whoever asks next
+            self._put(("error", e))
+
+    def next(self, size: int, delay_s: float | None = None, cookie: str | None = None) -> Portion:
+        if cookie != self._cookie or self._closed.is_set():
+            raise LookupError("this cookie was used before, or its result is closed")
+        until, got = None if delay_s is None else time.monotonic() + delay_s, []
+        self._cookie = uuid.uuid4().hex
+        while len(got) < size:
+            try:
+                kind, x = self._held.get(timeout=None if until is None else max(0.0, until - time.monotonic()))
+            except queue.Empty:
+                break
+            if kind == "row":
+                got.append(x)
+                continue
+            self.close()
+            if kind == "error":
+                raise x
+            return Portion(got, None)
+        return Portion(got, self._cookie)
+
+    def close(self) -> None:
+        self._closed.set()
+
+
 @dataclass(frozen=True)
 class Validation:
     ok: bool

@@ -1,22 +1,74 @@
-"""Query results of InfluxDB, as JSON, back to points."""
+"""Query results of InfluxDB, as JSON files or asked of a server slice by slice, back to points."""
 
 from __future__ import annotations
 
+import json
+import urllib.parse
+import urllib.request
+from collections.abc import Iterator
+from datetime import UTC, datetime, timedelta
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import histogram as H
 from ..model import HIST, POINTS, path_key, read_value, tags_key
 from ..sinks.lines import RANGE_TAG
+from ..storage import cut
 from .json_flat import leaf
 
 SCHEMA = "results array<struct<series:array<struct<name:string,tags:map<string,string>,columns:array<string>,values:array<array<string>>>>>>"
 
+SCHEMA_OF_ANSWER = f"struct<{SCHEMA.replace(' ', ':', 1)}>"
+#: Seconds that one query to a server covers.
+SLICE_S = 3600
+
 
 def read(spark: SparkSession, path: str, range_tag: str = RANGE_TAG) -> DataFrame:
     return to_points(spark.read.schema(SCHEMA).option("multiLine", True).json(path), range_tag)
 
 
+def ask(url: str, database: str, query: str, timeout: float = 60.0) -> str:
+    """The answer of an InfluxDB server's query interface, times in milliseconds."""
+    args = urllib.parse.urlencode({"db": database, "q": query, "epoch": "ms"})
+    with urllib.request.urlopen(f"{url.rstrip('/')}/query?{args}", timeout=timeout) as answer:
+        text = answer.read().decode()
+    top = json.loads(text)
+    wrong = [x["error"] for x in [top, *top.get("results", [])] if "error" in x]
+    if wrong:
+        raise ValueError(f"InfluxDB: {wrong[0]}")
+    return text
+
+
+def scan(spark: SparkSession, url: str, database: str, begin: datetime, end: datetime, group: str = "/^.*$/", metric: str = "*", slice_s: int = SLICE_S, range_tag: str = RANGE_TAG, timeout: float = 60.0) -> DataFrame:
+    """Points of a server in [begin, end]: each slice of time is a query of its own, made by a task of its own.
+
+    ``group`` and ``metric`` are what ``select`` makes of path patterns. An
+    instant is in one slice, so histograms stay whole. The server is asked at
+    once, and answers are checkpointed, as points are made of them in two ways.
+    A query that fails fails its task, which Spark repeats.
+    """
+    first, last, step = _millis(begin), _millis(end), 1000 * slice_s
+    begins = range(first // step * step, last + 1, step)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in b["id"]:
+                low, high = max(first, at), min(last, at + step - 1)
+                text = ask(url, database, f"SELECT {metric} FROM {group} WHERE time >= {low}ms AND time <= {high}ms GROUP BY *", timeout)
+                yield pd.DataFrame({"text": [text]})
+
+    slices = spark.range(begins.start, max(begins.start, last + 1), step, max(1, len(begins)))
+    answers = cut(slices.mapInPandas(run, "text string")).select(F.from_json("text", SCHEMA_OF_ANSWER).alias("x")).select("x.results")
+    return to_points(answers, range_tag)
+
+
+def _millis(t: datetime) -> int:
+    """Without a zone: UTC."""
+    return (t.replace(tzinfo=t.tzinfo or UTC) - datetime(1970, 1, 1, tzinfo=UTC)) // timedelta(milliseconds=1)
+
+
 def to_points(results: DataFrame, range_tag: str = RANGE_TAG) -> DataFrame:
     """A row of values makes a point a column; series that differ only in ``range_tag`` are one histogram.
 

@@ -13,7 +13,7 @@ import time
 import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -86,13 +86,24 @@ def probe_tcp(address: str, timeout: float = DEADLINE_S) -> dict:
     return out | ({"latency": int((time.monotonic() - begun) * 1000)} if kind is None else {})
 
 
-def collect(targets: DataFrame, probe: Callable[[str], dict], tasks: int = 8) -> DataFrame:
-    """ts, group_path, tags, json of each of ``targets`` (target, group_path, tags), probed in parallel."""
+def collect(targets: DataFrame, probe: Callable[[str], dict], tasks: int = 8, deadline_s: float = DEADLINE_S) -> DataFrame:
+    """ts, group_path, tags, json of each of ``targets`` (target, group_path, tags), probed in parallel.
+
+    A task waits for ``deadline_s`` from its start. Targets that aren't done by
+    then, or whose probe raises, have null results: they make no points, but
+    ``failed`` counts them, and what others found is kept.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        with ThreadPoolExecutor(AT_ONCE) as pool:
+        until, pool = time.monotonic() + deadline_s, ThreadPoolExecutor(AT_ONCE)
+        try:
             for b in batches:
-                yield pd.DataFrame({"target": b["target"], "json": [json.dumps(x) for x in pool.map(probe, b["target"])]})
+                asked = [pool.submit(lambda t: json.dumps(probe(t)), t) for t in b["target"]]
+                wait(asked, max(0.0, until - time.monotonic()))
+                texts = [f.result() if f.done() and not f.cancelled() and f.exception() is None else None for f in asked]
+                yield pd.DataFrame({"target": b["target"], "json": pd.Series(texts, dtype=object)})
+        finally:
+            pool.shutdown(wait=False, cancel_futures=True)  # what hangs ends by its own timeout
 
     found = targets.select("target").distinct().repartition(tasks).mapInPandas(run, "target string, json string")
     return targets.join(found, "target").select(F.current_timestamp().alias("ts"), "group_path", "tags", "json")
@@ -106,7 +117,7 @@ def to_points(results: DataFrame) -> DataFrame:
 
 
 def failed(results: DataFrame) -> Column:
-    """How many targets weren't up, as an aggregate."""
+    """How many targets weren't up or have no result, as an aggregate."""
     return F.sum((~F.coalesce(F.get_json_object("json", "$.up").cast("boolean"), F.lit(False))).cast("bigint"))
 
 
