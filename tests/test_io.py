@@ -130,6 +130,11 @@ def test_json_flattening(spark):
     assert got[1, "body.a.b.0"] == ("int", None, 1, None, None) and got[1, "body.a.b.1"][3] == 2.5 and got[1, "body.a.b.2"][4] == "x]{"
     assert got[1, "body.a.b.3.c"][0] == "empty" and got[1, "body.t"][1] is True and got[1, "body.q"][4] == 'a"\\'
     assert got[1, "body.big"][0] == "dbl" and got[4, "body"][2] == 7 and len(got) == 8
+    stated = json_flat.flatten(rows, "j", levels=6)
+    assert {(r.id, ".".join(r.metric)): (r.kind, r.b, r.i, r.d, r.s) for r in stated.collect()} == got
+    assert "Union" not in stated._jdf.queryExecution().optimizedPlan().toString()
+    with pytest.raises(Exception, match="nests deeper than 2 levels"):
+        json_flat.flatten(rows, "j", levels=2).collect()
 
 
 def message(**x):
@@ -184,7 +189,7 @@ def test_probes(spark):
     free.close()
     schema = "target string, group_path array<string>, tags map<string,string>"
     urls = spark.createDataFrame([(f"http://127.0.0.1:{port}/", ["u"], {"a": "s:1"}), (f"http://127.0.0.1:{gone}/", ["v"], {})], schema)
-    found = probe.collect(urls, lambda u: probe.probe_url(u, 5, body=True), 2).persist()
+    found = probe.collect(urls, lambda u: probe.probe_url(u, 5, body=True), 2)
     got = {(r.group_key, r.metric_key): r for r in probe.to_points(found).collect()}
     assert got["u", "up"].b and got["u", "status.code"].i == 200 and got["u", "body.k.'0'"].i == 1 and got["u", "body.k.'1'.z"].kind == "empty"
     assert got["u", "header.'X-N'"].i == 17 and got["u", "content.mimetype"].s == "application/json" and got["u", "up"].tags == {"a": "s:1"}
@@ -208,9 +213,8 @@ def test_scrape_deadline(spark):
     names = ["a", "late", "wrong", "down", "b"]
     targets = spark.createDataFrame([(t, [t], {}) for t in names], "target string, group_path array<string>, tags map<string,string>")
     begun = time.monotonic()
-    found = probe.collect(targets, slow, 1, deadline_s=1.0).collect()
+    found = probe.collect(targets, slow, 1, deadline_s=1.0)
     assert time.monotonic() - begun < 7
-    found = spark.createDataFrame([(r.ts, r.group_path, r.tags, r.json) for r in found], "ts timestamp, group_path array<string>, tags map<string,string>, json string")
     assert {r.group_key for r in probe.to_points(found).collect()} == {"a", "b", "down"}
     assert found.agg(probe.failed(found)).first()[0] == 3 and found.count() == 5
 

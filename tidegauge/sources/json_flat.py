@@ -1,8 +1,9 @@
 """Nested JSON as metrics with dotted names.
 
 Nesting is of any depth, so one level after another is unfolded as VARIANT
-values with built-in functions; the number of rounds is the depth of the
-deepest document, which one aggregation finds beforehand.
+values with built-in functions, in one pass over the rows; the number of rounds
+is the depth of the deepest document, which one aggregation finds beforehand
+unless it is stated.
 """
 
 from __future__ import annotations
@@ -32,27 +33,26 @@ def depth(df: DataFrame, column: str) -> int:
     return df.agg(F.max(most)).first()[0] or 0
 
 
-def flatten(df: DataFrame, column: str, prefix: tuple[str, ...] = ("body",)) -> DataFrame:
+def flatten(df: DataFrame, column: str, prefix: tuple[str, ...] = ("body",), levels: int | None = None) -> DataFrame:
     """Each row of ``df`` once a leaf, with metric (path) and kind, b, i, d, s.
 
     Array elements are named by their place. Texts that aren't JSON have no
     leaves; a null leaf is an empty value; objects and arrays without elements
-    have none.
+    have none. With ``levels`` stated, rows are read once, so a stream will do;
+    a document that nests deeper is an error.
     """
     names = [c for c in df.columns if c != column]
-    parsed = df.withColumn("__v", F.try_parse_json(column)).filter("__v IS NOT NULL").withColumn("metric", F.array(*[F.lit(p) for p in prefix]).cast("array<string>"))
-    levels = depth(df.select(column), column)
-    nested = lambda c: F.schema_of_variant(c).rlike("^(OBJECT|ARRAY)")
-    done, open_ = None, parsed
-    for level in range(levels + 1):
-        flat = open_.filter(~nested(F.col("__v")))
-        done = flat if done is None else done.unionByName(flat)
-        if level == levels:
-            break
-        rest = open_.filter(nested(F.col("__v")))
-        child = F.expr("""CASE WHEN schema_of_variant(__v) LIKE 'OBJECT%'
-            THEN transform(map_entries(variant_get(__v, '$', 'map<string,variant>')), e -> named_struct('k', e.key, 'v', e.value))
-            ELSE transform(variant_get(__v, '$', 'array<variant>'), (e, j) -> named_struct('k', cast(j AS string), 'v', e)) END""")
-        open_ = rest.withColumn("__c", F.explode(child)).withColumn("metric", F.concat("metric", F.array("__c.k"))).withColumn("__v", F.col("__c.v")).drop("__c")
-    v = leaf(F.to_json("__v"))
-    return done.select(*names, "metric", *v.columns(["bool", "int", "dbl", "string"]))
+    out = df.withColumn("__v", F.try_parse_json(column)).filter("__v IS NOT NULL").withColumn("metric", F.array(*[F.lit(p) for p in prefix]).cast("array<string>"))
+    children = F.expr("""CASE WHEN schema_of_variant(__v) LIKE 'OBJECT%'
+        THEN transform(map_entries(variant_get(__v, '$', 'map<string,variant>')), e -> named_struct('k', e.key, 'v', e.value))
+        WHEN schema_of_variant(__v) LIKE 'ARRAY%'
+        THEN transform(variant_get(__v, '$', 'array<variant>'), (e, j) -> named_struct('k', cast(j AS string), 'v', e))
+        ELSE array(named_struct('k', cast(null AS string), 'v', __v)) END""")
+    for _ in range(depth(df.select(column), column) if levels is None else levels):
+        out = out.select(*names, "metric", F.explode(children).alias("__c"))
+        out = out.select(*names, F.when(F.col("__c.k").isNull(), F.col("metric")).otherwise(F.concat("metric", F.array("__c.k"))).alias("metric"), F.col("__c.v").alias("__v"))
+    text = F.to_json("__v")
+    if levels is not None:
+        deeper = F.schema_of_variant("__v").rlike("^(OBJECT|ARRAY)")
+        text = F.when(deeper, F.raise_error(F.lit(f"JSON nests deeper than {levels} levels"))).otherwise(text)
+    return out.select(*names, "metric", text.alias("__t")).select(*names, "metric", *leaf(F.col("__t")).columns(["bool", "int", "dbl", "string"]))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..model import points, value
+from ..storage import cut
 from .json_flat import flatten
 
 # The deadline of a scrape, in seconds; probes at once in a task.
@@ -91,7 +92,8 @@ def collect(targets: DataFrame, probe: Callable[[str], dict], tasks: int = 8, de
 
     A task waits for ``deadline_s`` from its start. Targets that aren't done by
     then, or whose probe raises, have null results: they make no points, but
-    ``failed`` counts them, and what others found is kept.
+    ``failed`` counts them, and what others found is kept. Targets are probed
+    at once, and results are checkpointed, so that no use of them probes again.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,7 +108,7 @@ def collect(targets: DataFrame, probe: Callable[[str], dict], tasks: int = 8, de
             pool.shutdown(wait=False, cancel_futures=True)  # what hangs ends by its own timeout
 
     found = targets.select("target").distinct().repartition(tasks).mapInPandas(run, "target string, json string")
-    return targets.join(found, "target").select(F.current_timestamp().alias("ts"), "group_path", "tags", "json")
+    return cut(targets.join(found, "target").select(F.current_timestamp().alias("ts"), "group_path", "tags", "json"))
 
 
 def to_points(results: DataFrame) -> DataFrame:
