@@ -27,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group whose five-word shingles are similar by 0.8 or more."""
+    """Keeps the document with the least id of each group whose five-word shingles are similar by 0.8 or more: candidates by SimHash and trie, an exact check."""
     return simhash.representatives(docs)
 
 

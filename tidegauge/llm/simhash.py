@@ -11,6 +11,12 @@ quarters of its remaining bits, and once more. From each partition only a spanni
 its links leaves, so thousands of near copies make thousands of links, not
 millions; a star algorithm then joins the forests.
 
+``near_duplicates`` links texts by one fingerprint of equal votes. At a Jaccard
+similarity of 0.8 that differs by ten of 64 bits, which no budget tells from
+unlike texts, so ``representatives`` takes 22 more, in which few shingles have
+most of the votes, each joined by the same trie under the same budget; an exact
+check of the candidates follows (``similar.py``).
+
 Defined results: null text, like text of blanks, has no words and fingerprint
 zero; such texts link to each other and to any fingerprint of three bits or
 fewer. Links join fingerprints, never ids: rows that share an id, or have none,
@@ -37,6 +43,9 @@ SEED, SHINGLE, BUDGET = 42, 3, 3
 CHUNK, FRONTIER = 1 << 15, 1 << 17
 #: Bits of a quarter of all 64 bits, of the 48 that are left, and of the 36 that are left then; rows of a task aimed at.
 QUARTERS, TASK_ROWS = (16, 12, 9), 1 << 20
+#: Weighted fingerprints of a set, votes that each shingle has in one, votes counted, and a vote's weight by that of the one before.
+PRINTS, VOTES, LEAD, FALL = 22, 4, 32, 0.6
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, PRINTS, 1, VOTES), np.uint64) | np.uint64(1)
 
 
 def fingerprint(text: bytes, width: int = SHINGLE) -> int:
@@ -57,6 +66,44 @@ def fingerprint(text: bytes, width: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts * 2 > n).tobytes(), "big")
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return np.unpackbits(x.astype(">u8")[..., None].view(np.uint8), axis=-1)
+
+
+def _packed(bits: np.ndarray) -> np.ndarray:
+    return np.packbits(bits, axis=-1).view(">u8")[..., 0].astype(np.uint64)
+
+
+def prints(s: np.ndarray) -> np.ndarray:
+    """SimHashes of the set ``s`` of hashed shingles: one of equal votes, then ``PRINTS`` of weighted ones.
+
+    For each of these a hash orders the votes, and weights fall by ``FALL``
+    from one to the next: sets that share the first few agree in most bits. A
+    pair at a Jaccard similarity of 0.8 agrees to three bits in one of them
+    with a probability of 0.38 at least, so all miss it three times in 100,000
+    at most; one at 0.2 with 0.01 at most. Votes after the first ``LEAD`` weigh too little to count.
+    """
+    if not len(s):
+        return np.zeros(1 + PRINTS, np.uint64)
+    equal, first = np.zeros(64, np.int64), np.zeros((PRINTS, 0), np.uint64)
+    for at in range(0, len(s), 1 << 12):
+        part = s[at : at + (1 << 12)]
+        equal += _bits(part).sum(0, dtype=np.int64)
+        votes = ((part[:, None] ^ _ODD[1]) * _ODD[0]).reshape(PRINTS, -1)
+        first = np.concatenate((first, votes), axis=1)
+        if first.shape[1] > LEAD:
+            first = np.partition(first, LEAD - 1, axis=1)[:, :LEAD]
+    weights = FALL ** np.arange(first.shape[1])
+    yes = np.einsum("v,pvb->pb", weights, _bits(_mixed(np.sort(first, axis=1))))
+    return np.concatenate((_packed((equal * 2 > len(s))[None]), _packed(yes * 2 > weights.sum())))
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -173,13 +220,14 @@ def _bucket_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def buckets(nodes: DataFrame, hot: int) -> DataFrame:
-    """key, fp: each node once for each of its four 16-bit quarters.
+    """key, fp: each node once for each of its four 16-bit quarters. Nodes whose ``table``, if they have one, differs share no bucket.
 
     In buckets of over ``hot`` nodes, each node goes instead to four buckets by
     quarters of the bits that its bucket doesn't share. A key is a hash, and
     two buckets that it should join lose nothing by it.
     """
-    out, dealt = None, nodes.select("fp", F.lit(0).cast("long").alias("key"), F.col("fp").alias("left"))
+    table = F.col("table") if "table" in nodes.columns else F.lit(0)
+    out, dealt = None, nodes.select("fp", table.cast("long").alias("key"), F.col("fp").alias("left"))
     for width in QUARTERS:
         low = lambda at: F.col("left").bitwiseAND(F.lit((1 << at) - 1).cast("long"))
         high = lambda at: F.shiftrightunsigned("left", at) if at < 64 else F.lit(0).cast("long")
@@ -218,6 +266,14 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text",
     return fps.join(of, "fp").select("id", "fp", "component")
 
 
+def candidates(one: DataFrame, hot: int = 50_000) -> DataFrame:
+    """fp, n, key for each of the prints of ``one`` (fp, n, prints); what the trie joins in a print has one key."""
+    dealt = one.select("fp", "n", F.posexplode("prints").alias("table", "print"))
+    joined = _joined(stored(dealt.select("table", F.col("print").alias("fp")).distinct(), "simhash-prints"), hot)
+    named = dealt.join(small(joined, joined.count()), dealt["print"] == joined["node"], "left")
+    return named.select("fp", "n", F.xxhash64("table", F.coalesce("component", "print")).alias("key"))
+
+
 def first_rows(rows: DataFrame, joined: DataFrame) -> DataFrame:
     """row of the first of each component: by id, null last, then by what it holds.
 
@@ -228,20 +284,21 @@ def first_rows(rows: DataFrame, joined: DataFrame) -> DataFrame:
     return named.groupBy("component").agg(F.min("first").alias("first")).select("first.row")
 
 
-def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = similar.SHINGLE, least: float = similar.LEAST) -> DataFrame:
+def representatives(docs: DataFrame, ident: str = "doc_id", text: str = "text", width: int = similar.SHINGLE, least: float = similar.LEAST, hot: int = 50_000) -> DataFrame:
     """One row of ``docs`` of each group of texts whose shingles are similar, that with the least id; ids may repeat or be null.
 
-    At a Jaccard similarity of 0.8 SimHash differs by ten of 64 bits, which no
-    budget can tell from unlike texts, so candidates are of MinHash here.
+    Candidates are of the trie, in one of 23 SimHashes; each link is confirmed on the whole sets of shingles.
     """
     names = docs.columns
     held = F.xxhash64(*names).alias("held")
     whole = stored(docs.select(F.struct(*names).alias("d"), F.monotonically_increasing_id().alias("row"), held), "simhash-rows", compression="zstd")
     texts = whole.select("row", F.col("d")[text].alias("text"))
-    found = stored(similar.sets(texts, "row", "text", width), "simhash-sets")
+    found = stored(similar.sets(texts, "row", "text", prints, width), "simhash-sets")
     rows = whole.select("row", F.col("d")[ident].cast("long").alias("id"), "held").join(found.select("row", "fp"), "row")
     rows = stored(rows, "simhash-held")
-    return without(whole, rows, first_rows(rows, similar.joined(found, texts, width, least))).select("d.*")
+    one = similar.nodes(found)
+    joined = similar.joined(one, candidates(one, hot), texts, width, least)
+    return without(whole, rows, first_rows(rows, joined)).select("d.*")
 
 
 def without(whole: DataFrame, rows: DataFrame, first: DataFrame) -> DataFrame:

@@ -1,8 +1,7 @@
-"""Near duplicates by the Jaccard similarity of word shingles: MinHash candidates, exact confirmation.
+"""The exact check behind SimHash candidates: the Jaccard similarity of whole sets of word shingles.
 
 A text is the set of its distinct hashed shingles; texts of equal sets are one
-node. Two nodes are candidates if they agree in all hashes of one of 20 bands
-of four: of pairs at a similarity of 0.8 that misses about three in 100,000.
+node. Candidates, nodes that share a key, come from elsewhere (``simhash.candidates``).
 Every link is confirmed on the whole sets.
 
 In a bucket of candidates, all are first held against the least, then what is
@@ -18,7 +17,7 @@ shorter than a shingle is one shingle.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +29,11 @@ from .common import small, stored, through_arrow
 from .components import components
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
-BANDS, WIDTH = 20, 4
-#: Shingles whose MinHashes are taken at once, and rows that leave a worker at once.
-CHUNK, ROWS = 1 << 12, 100
+#: Rows that leave a worker at once.
+ROWS = 100
 #: Nodes and shingles aimed at in a block of a bucket.
 BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
-_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * WIDTH, 1), np.uint64) | np.uint64(1)
-SETS = "row long, fp long, n long, bands array<long>"
+SETS = "row long, fp long, n long, prints array<long>"
 
 
 def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
@@ -52,21 +49,13 @@ def shingles(text: bytes, width: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(first, last, strict=True)), np.uint64, n))
 
 
-def bands(s: np.ndarray) -> np.ndarray:
-    """A key for each band: its place and its MinHashes, hashed."""
-    least = np.full(BANDS * WIDTH, 2**64 - 1, np.uint64)
-    for at in range(0, len(s), CHUNK):
-        least = np.minimum(least, ((s[at : at + CHUNK] ^ _ODD[1]) * _ODD[0]).min(1))
-    return np.array([xxhash.xxh64_intdigest(x.tobytes(), i) for i, x in enumerate(least.reshape(BANDS, WIDTH))], np.uint64).view(np.int64)
-
-
 def near(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= least * (len(a) + len(b) - both)
 
 
-def sets(docs: DataFrame, row: str, text: str, width: int = SHINGLE) -> DataFrame:
-    """row, fp (a hash of the set), n (its size), bands of each row."""
+def sets(docs: DataFrame, row: str, text: str, prints: Callable[[np.ndarray], np.ndarray], width: int = SHINGLE) -> DataFrame:
+    """row, fp (a hash of the set), n (its size), prints (its fingerprints) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,8 +63,8 @@ def sets(docs: DataFrame, row: str, text: str, width: int = SHINGLE) -> DataFram
                 b = batch.slice(at, ROWS)
                 found = [shingles(t.as_py() or b"", width) for t in b.column(1).cast(pa.binary())]
                 fps = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in found], np.uint64).view(np.int64)
-                cols = [pa.array(fps), pa.array([len(s) for s in found], pa.int64()), pa.array([bands(s) for s in found], pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["row", "fp", "n", "bands"])
+                cols = [pa.array(fps), pa.array([len(s) for s in found], pa.int64()), pa.array([prints(s).view(np.int64) for s in found], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["row", "fp", "n", "prints"])
 
     return through_arrow(docs.select(F.col(row).alias("row"), F.col(text).alias("text")), run, SETS)
 
@@ -183,14 +172,18 @@ def _within_buckets(rest: DataFrame, held: DataFrame, least: float) -> DataFrame
     return stored(through_arrow(dealt, run, "u long, v long"), "similar-links")
 
 
-def joined(found: DataFrame, texts: DataFrame, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
-    """node, component (both fp) for each node of ``found``, as from sets() of ``texts`` (row, text), that links join to a smaller one.
+def nodes(found: DataFrame) -> DataFrame:
+    """fp, row, n, prints: each set of ``found``, as from sets(), once; the empty one is no node."""
+    one = found.filter("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("prints").alias("prints"))
+    return stored(one, "similar-nodes")
+
+
+def joined(one: DataFrame, dealt: DataFrame, texts: DataFrame, width: int = SHINGLE, least: float = LEAST) -> DataFrame:
+    """node, component (both fp) for each of the nodes ``one`` that links join to a smaller one.
 
-    The sets themselves are made again for candidates only, as they are larger than the texts.
+    ``dealt`` (fp, n, key) has the candidates: nodes that share a key. ``texts`` (row, text) is what ``one`` was made of;
+    sets are made again for candidates only, as they are larger than the texts.
     """
-    one = found.filter("n > 0").groupBy("fp").agg(F.min("row").alias("row"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    one = stored(one, "similar-nodes")
-    dealt = one.select("fp", "n", F.explode("bands").alias("key"))
     shared = dealt.groupBy("key").count().filter("count > 1").select("key")
     dealt = stored(dealt.join(shared, "key"), "similar-buckets")
     rows = stored(one.select("fp", "row").join(dealt.select("fp").distinct(), "fp", "left_semi"), "similar-rows")
