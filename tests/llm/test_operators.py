@@ -109,6 +109,19 @@ def test_encoder_forgets(enc, monkeypatch):
             assert ids[at[i - a] : at[i - a + 1]].tolist() == whole(enc, texts[i])
 
 
+@pytest.mark.parametrize("kind, name", [("byte", "byte_bpe_50k.json"), ("word", "word_bpe_49k.json")])
+def test_a_slice_takes_each_new_word_to_the_library_once(kind, name):
+    import pyarrow as pa
+
+    enc = encoding.Encoder(tokenizer(name), kind, 2)
+    seen, units = Counter(), enc.units
+    enc.units = lambda x: seen.update([x]) or units(x)
+    texts = ["so quixotry and quixotry", None, "is quixotry", f"a {'long' * 30} {'long' * 30}", "", "an  quixotic"]
+    for a, b, ids, at in enc.encode(pa.array(texts)):
+        assert [ids[x:y].tolist() for x, y in zip(at[:-1], at[1:], strict=True)] == [whole(enc, t) for t in texts[a:b]]
+    assert [n for x, n in seen.items() if "quixotry" in x or "long" in x] == [1, 1]
+
+
 def test_token_files(spark, docs, tmp_path):
     path = str(tmp_path / "ids")
     tokens.write(docs, path, tokenizer("byte_bpe_50k.json"))

@@ -2,6 +2,7 @@
 
 Texts are split at single blanks; only words not met before go through the
 tokenizers library, and the ids of a text are joined from those of its words.
+Arrow splits a slice of texts, finds its distinct words and gathers their ids.
 This gives the ids of encoding each text as a whole, because both supported
 tokenizers begin a new unit there: ``byte`` (byte-level BPE, a blank belongs
 to the word after it) wherever a blank isn't part of a longer run of white
@@ -15,6 +16,7 @@ import gc
 import os
 import re
 from array import array
+from codecs import charmap_decode
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -94,8 +96,9 @@ class Encoder:
         self.kind, self.end = kind, array("I", [end]).tobytes()
         self.pieces, self.joint = PIECES[kind], "\n" if kind == "byte" else " "
         self.reserved = [t.content for t in self.tok.get_added_tokens_decoder().values()] + [_BREAK]
-        self.letters = str.maketrans(dict(enumerate(byte_letters())))
+        self.letters = "".join(byte_letters())
         self.bare, self.spaced = Words(self._word, ""), Words(self._word, self.letters[32])
+        self.later = self.spaced if kind == "byte" else self.bare  # has the words after a text's first
         self.units = self.tok.model.tokenize
         self.line = self.whole("\n")
         self.vocabulary = self.tok.get_vocab_size()
@@ -111,7 +114,7 @@ class Encoder:
         else:
             found = _PLAIN(w)
             plain = found is not None
-            core = found[1] if plain else w
+            core = found[1] if plain and found[2] else w
         if not plain:
             return self._other(w, known)
         met = core is not w and (known.get(core) or known.older.get(core))
@@ -120,7 +123,7 @@ class Encoder:
         else:
             unit = core.lower() if self.kind == "word" else core
             if not unit.isascii():
-                unit = unit.encode().decode("latin-1").translate(self.letters)
+                unit = charmap_decode(unit.encode(), "strict", self.letters)[0]
             ids = array("I", [t.id for t in self.units(known.lead + unit)]).tobytes()
             slot = hash(core) & (_MET - 1)  # as keep() does; this is the hot path
             if not known.met[slot]:
@@ -148,25 +151,44 @@ class Encoder:
         known.keep(w, ids)
         return ids
 
-    def text(self, text: str) -> bytes:
-        """The ids of ``text`` and the end id, as little-endian unsigned 32-bit integers."""
+    def begun(self, text: str) -> tuple[bytes, str | None]:
+        """Ids that ``text`` begins with, and its words after those with a blank between two (null: it is done)."""
         for x in self.reserved:
             if x in text:
-                return self.whole(text) + self.end
+                return self.whole(text), None
         if self.kind == "word":
-            ids = list(map(self.bare.__getitem__, text.replace("\n", " ").split(" ")))
-        else:
-            rare = any([x in text for x in _RARE_SPACE]) or not (text.isascii() or not any([x in text for x in _OTHER_SPACE]))
-            if "  " in text or "\n " in text or (rare and _RUN(text)):  # a blank within a longer run
-                return self.whole(text) + self.end
-            if not (rare or "\n\n" in text or " \n" in text or text[-1:] == "\n"):  # each line break stands alone
-                text = text.replace("\n", f" {_BREAK}")
-            parts = text.split(" ")
-            first, parts[0] = parts[0], ""  # the first part has no blank before it
-            ids = list(map(self.spaced.__getitem__, parts))
-            ids[0] = self.bare[first]
+            return b"", text.replace("\n", " ")
+        rare = any([x in text for x in _RARE_SPACE]) or not (text.isascii() or not any([x in text for x in _OTHER_SPACE]))
+        if "  " in text or "\n " in text or (rare and _RUN(text)):  # a blank within a longer run
+            return self.whole(text), None
+        if not (rare or "\n\n" in text or " \n" in text or text[-1:] == "\n"):  # each line break stands alone
+            text = text.replace("\n", f" {_BREAK}")
+        first, blank, rest = text.partition(" ")  # the first part has no blank before it
+        return self.bare[first], rest if blank else None
+
+    def text(self, text: str) -> bytes:
+        """The ids of ``text`` and the end id, as little-endian unsigned 32-bit integers."""
+        ids, rest = self.begun(text)
+        words = () if rest is None else map(self.later.__getitem__, rest.split(" "))
+        return b"".join([ids, *words, self.end])
+
+    def _slice(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of ``texts``, and where each text begins in them: Arrow splits and gathers, each distinct word is looked up once."""
+        begun = [self.begun(t or "") for t in texts]
+        lists = pc.split_pattern(pa.array([rest for _, rest in begun], pa.large_string()), " ")
+        words = lists.values.dictionary_encode()
+        ids = list(map(self.later.__getitem__, words.dictionary.to_numpy(zero_copy_only=False).tolist()))
+        at = lists.offsets.to_numpy() + 2 * np.arange(len(texts) + 1)  # each text: its beginning, its words, the end id
+        parts, inner = np.empty(at[-1], np.int32), np.ones(at[-1], bool)
+        inner[at[:-1]] = inner[at[1:] - 1] = False
+        parts[inner] = words.indices.to_numpy()
+        parts[at[:-1]] = len(ids) + np.arange(len(texts))
+        parts[at[1:] - 1] = len(ids) + len(texts)
+        ids += [x for x, _ in begun]
         ids.append(self.end)
-        return b"".join(ids)
+        _, ends, raw = pa.array(ids, pa.large_binary()).take(pa.array(parts)).buffers()
+        starts = np.frombuffer(ends, np.int64, len(parts) + 1)[at] >> 2
+        return np.frombuffer(raw, np.uint32, starts[-1]), starts
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """For slices of ``texts`` (null: empty): first and last row, all ids, and offsets of each text in them."""
@@ -179,12 +201,11 @@ class Encoder:
             collects = gc.isenabled()
             gc.disable()  # many short-lived lists, no cycles; each pass would walk all words
             try:
-                ids = [self.text(t or "") for t in texts.slice(first, last - first).to_pylist()]
+                ids, starts = self._slice(texts.slice(first, last - first).to_pylist())
             finally:
                 if collects:
                     gc.enable()
-            ends = np.cumsum([0, *map(len, ids)]) >> 2
-            yield first, last, np.frombuffer(b"".join(ids), np.uint32), ends
+            yield first, last, ids, starts
             first = last
 
 
