@@ -136,6 +136,14 @@ def test_token_files(spark, docs, tmp_path):
     assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == want
 
 
+def test_token_files_have_no_level_for_null_ids(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    tokens.write(docs, str(tmp_path / "ids"), tokenizer("byte_bpe_50k.json"))
+    for f in (tmp_path / "ids").glob("*.parquet"):
+        assert not pq.read_schema(f).field("ids").type.value_field.nullable
+
+
 def test_token_files_of_nothing(spark, nothing, tmp_path):
     tokens.write(nothing, str(tmp_path / "ids"), tokenizer("byte_bpe_50k.json"))
     assert tokens.checksums(tokens.read(spark, str(tmp_path / "ids"))).count() == 0
